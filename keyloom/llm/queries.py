@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .quality import OP4_SQL, op4_quality
+from .secrets import op2_secrets
 from .simhash import op6_simhash
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
+    "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
     "op10_warc": op10_warc,
 }
-SQL = {"op10_warc": OP10_SQL}
+SQL = {"op4_quality": OP4_SQL, "op10_warc": OP10_SQL}

@@ -150,18 +150,13 @@ def keep_one_per_component(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = simhash_components(docs.select("doc_id", "text"), radius)
     keep = found.groupBy("component_id").agg(F.min("doc_id").alias("keep_id")).select("keep_id").distinct()
     repeated = found.groupBy("doc_id").agg((F.count("*") > 1).alias("repeated"))
-    keep = keep.join(repeated, keep["keep_id"].eqNullSafe(repeated["doc_id"])).select("keep_id", "repeated")
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"])).select(*[docs[c] for c in docs.columns], "repeated")
-    kept = stash(kept, "simhash-kept")
-    once = kept.where("NOT repeated").drop("repeated")
-    return once.unionByName(first_per_id(kept.where("repeated").drop("repeated")))
-
-
-def first_per_id(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id: of the smallest text, then of the smallest other columns."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    best = docs.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
-    return best.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
+    keep = keep.join(repeated, F.col("keep_id").eqNullSafe(F.col("doc_id"))).select("keep_id", "repeated")
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kept = stash(rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "row", "repeated"), "simhash-kept")
+    rest = [F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.col("row")["text"].alias("t"), *[c.alias(f"c{i}") for i, c in enumerate(rest)])
+    best = kept.where("repeated").groupBy("id").agg(F.min_by("row", order).alias("row")).select("row")
+    return kept.where("NOT repeated").select("row").unionByName(best).select("row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
