@@ -1,7 +1,7 @@
 """WARC archives: writing with segmentation and revisits, reading with segment reassembly.
 
 Files are written by Spark's text sink: a row is a record, and the sink's line separator CRLF CRLF is
-the end of a WARC record, so the files are plain WARC/1.1 on any store that Spark writes. Payloads are
+the end of a WARC record, so the files are gzipped WARC/1.1 on any store that Spark writes. Payloads are
 UTF-8 text. A block is an HTTP response with chunked transfer framing; long blocks are cut into a
 first record with WARC-Segment-Number 1 and continuation records that name its id.
 
@@ -11,6 +11,7 @@ and groups only segmented records by origin id: ordered by number, length verifi
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -88,7 +89,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> str:
     typed = assign_types(pages, least).withColumn("nth", F.lit(0))
     typed = typed.select("page_id", "url", "html", "payload_bytes", "digest", "first_id", "nth")
     records = typed.mapInArrow(_records, "value string")
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
     return path
 
 
@@ -119,6 +120,11 @@ def payload_of(block: bytes) -> bytes | None:
     return dechunk(body) if re.search(rb"(?im)^transfer-encoding:\s*chunked\s*$", head.replace(b"\r", b"")) else body
 
 
+def plain(data: bytes) -> bytes:
+    """Content of a file of gzip members, one for all records or one each; other files as they are."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record, by Content-Length."""
     at = 0
@@ -150,7 +156,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
             rows, size = [], 0
-            for h, block in parse_warc(data.as_buffer().to_pybytes()):
+            for h, block in parse_warc(plain(data.as_buffer().to_pybytes())):
                 kind, page = h.get("warc-type"), number(h.get("x-page-id"))
                 if kind == "continuation" or "warc-segment-number" in h:
                     rows.append((page, h.get("warc-segment-origin-id", h.get("warc-record-id")), int(h["warc-segment-number"]), number(h.get("warc-segment-total-length")), kind, None, None, None, None, block))
