@@ -47,4 +47,5 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
             roots = stash(roots.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")).unionByName(point), f"{label}-roots")
     if roots is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots
+    # A node whose pointer was not yet short may be pointed to, and so be replaced again in a later round; both ways end at one root.
+    return roots.groupBy("node").agg(F.min("root").alias("root"))

@@ -120,6 +120,8 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, block: int = BL
     cut = rooted.join(mixed, ["t", "key"]).withColumn("k", F.ceil(F.col("n") / block).cast("int")).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     pairs = cut.select("t", "key", "fp", "root", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
     pairs = pairs.select("t", "key", "fp", "root", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), (F.col("c") > F.col("o")).cast("int").alias("side"))
+    # few bytes but much work: an explicit number of partitions is not coalesced
+    pairs = pairs.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "key", "c1", "c2")
     more = pairs.groupBy("t", "key", "c1", "c2").applyInPandas(lambda pdf: _compare(pdf, radius), "a long, b long")
     edges = edges.unionByName(stash(more, "simhash-more"))
     roots = connected_components(edges, "simhash")
