@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .licenses import op9_licenses
 from .quality import OP4_SQL, op4_quality
 from .secrets import op2_secrets
 from .simhash import op6_simhash
+from .toxicity import op1_toxicity
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
+    "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
 }
 SQL = {"op4_quality": OP4_SQL, "op10_warc": OP10_SQL}
