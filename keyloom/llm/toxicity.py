@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Labelled rows that the lexicon and the weights are learned from, at most.
 TRAIN_ROWS = 8_000
 FOLDS, HELD_OUT = 5, 0
-LEXICON, FUZZY, LEAST_DOCS, LEAST_LIFT = 400, 64, 3, 8.0
+LEXICON, FUZZY, LEAST_DOCS, LEAST_LIFT = 400, 64, 4, 8.0
 PREFIX = range(5, 9)
 N_FEATURES = 5
 #: Weight of a hit in a quotation, of each misspelling, and of a word seen before in its text.
