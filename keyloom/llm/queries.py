@@ -6,6 +6,7 @@ from .decontaminate import op5_leaks
 from .htmltree import op7_html
 from .licenses import op9_licenses
 from .linededup import op3_lines
+from .pieces import op8_pieces
 from .quality import OP4_SQL, op4_quality
 from .secrets import op2_secrets
 from .simhash import op6_simhash
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_leaks": op5_leaks,
     "op6_simhash": op6_simhash,
     "op7_html": op7_html,
+    "op8_pieces": op8_pieces,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
 }

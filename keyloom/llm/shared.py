@@ -43,19 +43,19 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A point in the list of written tables, for release()."""
-    return len(_written)
+def written() -> list[str]:
+    """Paths of the tables that are still there, oldest first."""
+    return [path for _, path in _written]
 
 
-def release(since: int = 0, until: int | None = None) -> None:
-    """Deletes the tables written between two marks; frames that read them must be materialised."""
-    for spark, path in _written[since:until]:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
+def release(paths: list[str] | None = None) -> None:
+    """Deletes tables by path, or all; frames that read them must be materialised by then."""
+    for entry in [x for x in _written if paths is None or x[1] in paths]:
+        with contextlib.suppress(Exception):  # at exit the context may be gone
+            spark, path = entry
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _written[since:until] = []
+        _written.remove(entry)
 
 
 atexit.register(release)
