@@ -241,62 +241,6 @@ def contains_element(path: str, value: Any) -> Column:
     return F.coalesce(F.array_contains(F.col(path), literal(value)), F.lit(False))
 
 
-def condition(self, tree) -> Column:
-        kind = tree[0]
-        if kind in ("and", "or"):
-            a, b = self.condition(tree[1]), self.condition(tree[2])
-            return a & b if kind == "and" else a | b
-        if kind == "not":
-            return ~self.condition(tree[1])
-        false = F.lit(False)
-        if kind == "compare":
-            _, op, x, y = tree
-            a, b = self.operand(x), self.operand(y)
-            if isinstance(y, Value) and isinstance(y.value, (set, frozenset)):
-                a, b = F.array_sort(a), F.array_sort(b)
-            met = {"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
-            return F.coalesce(met, F.lit(self.missing == "lenient" and op in ("=", "<=", ">=")))
-        if kind == "between":
-            return F.coalesce(self.operand(tree[1]).between(self.operand(tree[2]), self.operand(tree[3])), false)
-        if kind == "in":
-            return F.coalesce(self.operand(tree[1]).isin(*[self.operand(o) for o in tree[2]]), false)
-        return F.coalesce(self.call(tree[1]), false)
-
-    def call(self, call: Call) -> Column:
-        path = self.operand(call.args[0])
-        if call.name == "attribute_exists":
-            return path.isNotNull()
-        if call.name == "attribute_not_exists":
-            return path.isNull()
-        if call.name == "attribute_type":
-            wanted = call.args[1].value
-            kinds = _TYPES.get(wanted)
-            if kinds is None:
-                raise ExpressionError(f"no type {wanted}")
-            starts = [F.startswith(F.typeof(path), F.lit(k)) for k in kinds]
-            met = starts[0]
-            for s in starts[1:]:
-                met = met | s
-            return path.isNotNull() & met
-        argument = self.operand(call.args[1])
-        if call.name == "begins_with":
-            return F.startswith(path, argument)
-        value = call.args[1].value if isinstance(call.args[1], Value) else None
-        return F.contains(path, argument) if isinstance(value, (str, bytes)) else F.array_contains(path, argument)
-
-
-def contains_element(path: str, value: Any) -> Column:
-    """Membership in a list or set attribute."""
-    return F.coalesce(F.array_contains(F.col(path), literal(value)), F.lit(False))
-
-
-def size_of(column: Column) -> Column:
-    """Bytes of a string or binary, elements of a collection: told apart by the type at analysis."""
-    text = column.cast("string")
-    collection = F.typeof(column).rlike("^(array|map)")
-    return F.when(collection, F.size(F.from_json(F.to_json(F.struct(column.alias("x"))), "x string").getField("x").isNotNull().cast("int").cast("array<int>")) if False else F.json_array_length(F.to_json(F.struct(column.alias("x")))[0:0])).otherwise(F.octet_length(text)) if False else F.octet_length(text)
-
-
 def condition(text: str, names: dict[str, str] | None = None, values: dict[str, Any] | None = None, missing: str = "strict", types: dict[str, str] | None = None) -> Column:
     """A filter or write condition as one boolean Column that is never null. types: dict(df.dtypes), for size() of collections."""
     t = _Tokens(text, names or {}, values or {})
