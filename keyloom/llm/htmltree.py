@@ -3,9 +3,9 @@
 Pages of a host are merged into one tree of style nodes (path of tags with classes from the root).
 A text block's node is important as far as its content differs over the host's distinct pages (the
 entropy of its values by the logarithm of their number), an inner node by the weighted importance of
-the blocks below and the entropy of its presentations (sequences of child tags). Branches below a
-threshold are removed from each page, with elements whose tag, role or class says that they are no
-article text. Within an article element only the latter go, as an article's parts are content.
+the blocks below and the entropy of its presentations (sequences of child tags). Branches that are,
+with all blocks in them, below a threshold are removed from each page, and elements whose tag, role or
+class says that they are no article text. Within an article element only the latter go, as an article's parts are content.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Importance below which a branch is noise; values that a node must have shown; share of the presentation in an inner node's importance.
-THRESHOLD, LEAST_SEEN, PRESENTATION = 0.65, 8, 0.2
+THRESHOLD, LEAST_SEEN, PRESENTATION = 0.65, 8, 0.1
 #: Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -182,9 +182,9 @@ def noise_nodes(pages: DataFrame, threshold: float = THRESHOLD, least: int = LEA
     sums = sums.withColumn("importance", F.when(F.col("seen") > 1, share).otherwise(1.0))
     both = sums.select("host", "kind", "seen", "importance", F.explode(F.when(F.col("kind") == 0, F.col("above")).otherwise(F.array("node"))).alias("node"))
     of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c))
-    nodes = both.groupBy("host", "node").agg(of(0, F.col("seen")).alias("seen"), of(0, F.col("seen") * F.col("importance")).alias("sum"), of(1, F.col("importance")).alias("shown"))
+    nodes = both.groupBy("host", "node").agg(of(0, F.col("seen")).alias("seen"), of(0, F.col("seen") * F.col("importance")).alias("sum"), F.max(F.when(F.col("kind") == 0, F.col("importance"))).alias("most"), of(1, F.col("importance")).alias("shown"))
     whole = (1 - PRESENTATION) * F.col("sum") / F.col("seen") + PRESENTATION * F.coalesce("shown", F.lit(0.0))
-    low = nodes.where((F.col("seen") >= least) & (whole < threshold))
+    low = nodes.where((F.col("seen") >= least) & (whole < threshold) & ((1 - PRESENTATION) * F.col("most") < threshold))
     return low.groupBy("host").agg(F.collect_list("node").alias("noise"))
 
 
