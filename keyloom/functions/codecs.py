@@ -9,6 +9,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEEPEST = 32
 TAGS = {"S", "N", "B", "BOOL", "NULL", "SS", "NS", "BS", "L", "M"}
@@ -60,7 +61,7 @@ def to_typed_json(columns: dict[str, tuple[Column, str]]) -> Column:
     return F.to_json(F.struct(*entries))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_number(text: pd.Series) -> pd.Series:
     """Decimal text without exponent, plus sign or needless zeros; null for what is no number."""
 
@@ -105,5 +106,11 @@ def score_text(score: float) -> str:
     return str(int(score)) if score == int(score) and abs(score) < 1e17 else format(Decimal(repr(score)), "f")
 
 
-number_key_udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else number_key(x)), "binary")
-score_key_udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None or x != x else score_key(x)), "binary")
+@F.pandas_udf(T.BinaryType())
+def number_keys(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else number_key(x))
+
+
+@F.pandas_udf(T.BinaryType())
+def score_keys(score: pd.Series) -> pd.Series:
+    return score.map(lambda x: None if x is None or x != x else score_key(x))

@@ -111,17 +111,22 @@ def split_score(facts: DataFrame, seconds: int, write_weight: int = 4, read_weig
     return facts.groupBy("route_id").agg((per_minute("writes") * write_weight + per_minute("reads") * read_weight).alias("score"))
 
 
-def split_key(buckets: DataFrame) -> DataFrame:
-    """Weighted median: route_id, split_key, origin of sub-buckets (route_id, sub_bucket, start, end, load).
+def split_key(buckets: DataFrame, routes: DataFrame) -> DataFrame:
+    """Weighted median: route_id, split_key, origin from sub-buckets (route_id, sub_bucket, start, end, load) and routes (route_id, start, end).
 
-    The first bucket where the running load reaches half decides: inside, its start; the first bucket of a route, its end; the
-    last, its start."""
+    The first bucket where the running load reaches half gives its end; where that is no key inside the route, its start.
+    Routes without load, or without a key strictly inside, are left out. Null ends are open."""
     own = Window.partitionBy("route_id")
-    run = buckets.withColumn("upto", F.sum("load").over(own.orderBy("sub_bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("load").over(own)).withColumn("lo", F.min("sub_bucket").over(own)).withColumn("hi", F.max("sub_bucket").over(own))
+    run = buckets.withColumn("upto", F.sum("load").over(own.orderBy("sub_bucket", "start").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("load").over(own))
     met = run.where((F.col("upto") * 2 >= F.col("total")) & (F.col("total") > 0))
-    pick = met.groupBy("route_id").agg(F.min_by(F.struct("sub_bucket", "start", "end", "lo", "hi"), "sub_bucket").alias("b"))
-    first, last = F.col("b.sub_bucket") == F.col("b.lo"), F.col("b.sub_bucket") == F.col("b.hi")
-    return pick.select("route_id", F.when(first, F.col("b.end")).otherwise(F.col("b.start")).alias("split_key"), F.when(first, "p50_first_bucket_hi").when(last, "p50_last_bucket_lo").otherwise("p50_mid").alias("origin"))
+    pick = met.groupBy("route_id").agg(F.min_by(F.struct("sub_bucket", "start", "end"), F.struct("sub_bucket", "start")).alias("b"))
+    met = pick.join(routes.select("route_id", F.col("start").alias("lo"), F.col("end").alias("hi")), "route_id")
+    beyond = F.col("b.end").isNull() | F.coalesce(F.col("b.end") >= F.col("hi"), F.lit(False))
+    first = (F.col("b.sub_bucket") == 0) & (F.col("b.start") == F.col("lo"))
+    key = F.when(beyond, F.col("b.start")).otherwise(F.col("b.end"))
+    origin = F.when(beyond, "p50_last_bucket_lo").when(first, "p50_first_bucket_hi").otherwise("p50_mid")
+    out = met.select("route_id", key.alias("split_key"), origin.alias("origin"), "lo", "hi")
+    return out.where((F.col("split_key") > F.col("lo")) & (F.col("hi").isNull() | (F.col("split_key") < F.col("hi")))).drop("lo", "hi")
 
 
 def consecutive_hot(windows: DataFrame, threshold: float, least: int) -> DataFrame:

@@ -232,8 +232,10 @@ class Compiler:
         argument = self.operand(call.args[1])
         if call.name == "begins_with":
             return F.startswith(path, argument)
+        kind = (self.types or {}).get(call.args[0].parts[0], "") if isinstance(call.args[0], Path) else ""
         value = call.args[1].value if isinstance(call.args[1], Value) else None
-        return F.contains(path, argument) if isinstance(value, (str, bytes)) else F.array_contains(path, argument)
+        part = isinstance(value, (str, bytes)) and not kind.startswith("array")
+        return F.contains(path, argument) if part else F.array_contains(path, argument)
 
 
 def contains_element(path: str, value: Any) -> Column:

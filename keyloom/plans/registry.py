@@ -1034,14 +1034,14 @@ QUERIES["split_score"] = lambda s, d: _raw_score(s, d).select("route_id", F.roun
 _B = "SELECT route_id, sub_bucket, n * (sub_bucket + 1) AS load, chr(CAST(97 + sub_bucket AS INTEGER)) AS start, chr(CAST(98 + sub_bucket AS INTEGER)) AS \"end\" FROM (SELECT c_nationkey AS route_id, c_custkey % 8 AS sub_bucket, count(*) AS n FROM customer GROUP BY ALL)"
 
 
-@query("split_key", f"""WITH r AS (SELECT *, sum(load) OVER (PARTITION BY route_id ORDER BY sub_bucket) AS upto, sum(load) OVER (PARTITION BY route_id) AS total, min(sub_bucket) OVER (PARTITION BY route_id) AS lo, max(sub_bucket) OVER (PARTITION BY route_id) AS hi FROM ({_B})),
+@query("split_key", f"""WITH r AS (SELECT *, sum(load) OVER (PARTITION BY route_id ORDER BY sub_bucket) AS upto, sum(load) OVER (PARTITION BY route_id) AS total FROM ({_B})),
 p AS (SELECT * FROM r WHERE upto * 2 >= total QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY sub_bucket) = 1)
-SELECT route_id, CASE WHEN sub_bucket = lo THEN "end" ELSE start END AS split_key, CASE WHEN sub_bucket = lo THEN 'p50_first_bucket_hi' WHEN sub_bucket = hi THEN 'p50_last_bucket_lo' ELSE 'p50_mid' END AS origin FROM p""")
+SELECT route_id, CASE WHEN "end" >= 'i' THEN start ELSE "end" END AS split_key, CASE WHEN "end" >= 'i' THEN 'p50_last_bucket_lo' WHEN sub_bucket = 0 THEN 'p50_first_bucket_hi' ELSE 'p50_mid' END AS origin FROM p""")
 def _(s, d):
     b = F.col("c_custkey") % 8
     rows = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("route_id"), b.alias("sub_bucket")).agg(F.count("*").alias("n"))
     rows = rows.withColumn("load", F.col("n") * (F.col("sub_bucket") + 1)).withColumn("start", F.char(97 + F.col("sub_bucket"))).withColumn("end", F.char(98 + F.col("sub_bucket")))
-    return heatmap.split_key(rows)
+    return heatmap.split_key(rows, table(s, d, "nation").select(F.col("n_nationkey").alias("route_id"), F.lit("a").alias("start"), F.lit("i").alias("end")))
 
 
 @query("consecutive_hot", f"""WITH w AS (SELECT route_id, "at", reads + writes AS score FROM ({_F})), m AS (SELECT *, score >= 2 AS hot, sum(CASE WHEN score >= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY route_id ORDER BY "at") AS island FROM w)
