@@ -123,3 +123,86 @@ def orphans(inodes: DataFrame, entries: DataFrame, leases: DataFrame, now_ms: in
     """Inodes that no entry and no living lease (inode, expire_ms) holds."""
     held = entries.select("inode").unionByName(leases.where(F.col("expire_ms") > now_ms).select("inode")).distinct()
     return inodes.join(held, inodes["id"] == held["inode"], "left_anti")
+
+
+# ---- buckets, deletes, uploads ---------------------------------------------------------------------
+
+
+def create_bucket(buckets: DataFrame, name: str, now_ms: int, acl: str = "private") -> DataFrame:
+    """buckets (bucket, generation, created_ms, acl) with a new one; an existing name stays as it is."""
+    spark = buckets.sparkSession
+    new = spark.createDataFrame([(name, 1, now_ms, acl)], "bucket string, generation long, created_ms long, acl string")
+    return buckets.unionByName(new.join(buckets.select("bucket"), "bucket", "left_anti"))
+
+
+def delete_bucket(buckets: DataFrame, objects_: DataFrame, name: str) -> DataFrame:
+    """buckets without an empty one; a bucket that holds objects stays."""
+    held = objects_.where(F.col("bucket") == name).select("bucket").distinct()
+    gone = buckets.where(F.col("bucket") == name).join(held, "bucket", "left_anti").select("bucket")
+    return buckets.join(gone, "bucket", "left_anti")
+
+
+def set_acl(buckets: DataFrame, name: str, acl: str) -> DataFrame:
+    return buckets.withColumn("acl", F.when(F.col("bucket") == name, F.lit(acl)).otherwise(F.col("acl")))
+
+
+def head_objects(objects_: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (bucket, key) with size, etag and modified, null where there is none."""
+    return asked.join(objects_, ["bucket", "key"], "left")
+
+
+def delete_objects(objects_: DataFrame, asked: DataFrame) -> DataFrame:
+    return objects_.join(asked.select("bucket", "key"), ["bucket", "key"], "left_anti")
+
+
+def list_parts(parts: DataFrame, upload: str, after: int = 0, most: int = 1000) -> DataFrame:
+    """Parts (upload, part, etag, size) of an upload by number; of a part sent twice the last counts (column sent_ms)."""
+    last = parts.where(F.col("upload") == upload).groupBy("upload", "part").agg(F.max_by(F.struct("etag", "size"), "sent_ms").alias("p"))
+    return last.where(F.col("part") > after).select("part", "p.etag", "p.size").orderBy("part").limit(most)
+
+
+def complete_upload(objects_: DataFrame, parts: DataFrame, wanted: DataFrame, bucket: str, key: str, upload: str, now_ms: int) -> DataFrame:
+    """objects with the upload's object, if each wanted part (part, etag) is there; else unchanged."""
+    there = list_parts(parts, upload, 0, 10_000)
+    met = wanted.join(there, ["part", "etag"])
+    whole = wanted.agg(F.count("*").alias("_w")).join(F.broadcast(met.agg(F.count("*").alias("_m"), F.sum("size").alias("size")))).where("_w = _m AND _w > 0")
+    etag = multipart_etag(met.select(F.lit(bucket).alias("bucket"), F.lit(key).alias("key"), "part", "etag"))
+    new = etag.join(F.broadcast(whole.select("size"))).select("bucket", "key", "size", "etag", F.lit(now_ms).cast("long").alias("modified"))
+    return delete_objects(objects_, new).unionByName(new.select(*objects_.columns))
+
+
+def abort_upload(parts: DataFrame, upload: str) -> DataFrame:
+    return parts.where(F.col("upload") != upload)
+
+
+# ---- file contents ---------------------------------------------------------------------------------
+
+
+def make_entries(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """entries with new ones (parent, name, inode); names that are taken stay."""
+    return entries.unionByName(new.join(entries, ["parent", "name"], "left_anti").select("parent", "name", "inode"))
+
+
+def unlink(entries: DataFrame, parent: int, name: str) -> DataFrame:
+    """A directory that holds entries stays."""
+    here = (F.col("parent") == parent) & (F.col("name") == name)
+    full = entries.select(F.col("parent").alias("inode")).distinct()
+    gone = entries.where(here).join(full, "inode", "left_anti").select("parent", "name")
+    return entries.join(gone, ["parent", "name"], "left_anti")
+
+
+def read_file(chunks: DataFrame, inode: int) -> DataFrame:
+    """inode, data of chunks (inode, chunk, data)."""
+    parts = chunks.where(F.col("inode") == inode).groupBy("inode").agg(F.array_sort(F.collect_list(F.struct("chunk", "data"))).alias("p"))
+    return parts.select("inode", F.aggregate("p", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["data"])).alias("data"))
+
+
+def write_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
+    """chunks with new ones (inode, chunk, data) in place of those of the same number."""
+    return chunks.join(new.select("inode", "chunk"), ["inode", "chunk"], "left_anti").unionByName(new.select(*chunks.columns))
+
+
+def truncate(chunks: DataFrame, inode: int, size: int, chunk_bytes: int) -> DataFrame:
+    """The file cut to a size; chunks are of chunk_bytes."""
+    keep = F.lit(size) - F.col("chunk") * chunk_bytes
+    return chunks.where((F.col("inode") != inode) | (keep > 0)).withColumn("data", F.when((F.col("inode") == inode) & (keep < F.octet_length("data")), F.substring("data", F.lit(1), keep.cast("int"))).otherwise(F.col("data")))

@@ -226,3 +226,30 @@ def batches(rows: Iterator, n: int = BATCH_ENTRIES) -> Iterator[list]:
             block = []
     if block:
         yield block
+
+
+def create_queue(queues: DataFrame, name: str, attributes: dict[str, str], now_ms: int) -> DataFrame:
+    """queues (name, attributes MAP, tags MAP, created_ms) with a new one; an existing name stays as it is."""
+    spark = queues.sparkSession
+    new = spark.createDataFrame([(name, attributes, {}, now_ms)], "name string, attributes map<string,string>, tags map<string,string>, created_ms long")
+    return queues.unionByName(new.join(queues.select("name"), "name", "left_anti"))
+
+
+def delete_queue(queues: DataFrame, messages: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    return queues.where(F.col("name") != name), purge(messages, name)
+
+
+def set_attributes(queues: DataFrame, name: str, new: dict[str, str]) -> DataFrame:
+    put = F.create_map(*[F.lit(x) for kv in new.items() for x in kv])
+    kept = F.map_filter("attributes", lambda k, v: ~k.isin(*new))
+    return queues.withColumn("attributes", F.when(F.col("name") == name, F.map_concat(kept, put)).otherwise(F.col("attributes")))
+
+
+def get_attributes(queues: DataFrame, name: str, wanted: list[str]) -> DataFrame:
+    """attribute, value of a queue."""
+    return queues.where(F.col("name") == name).select(F.explode(select_attributes(F.col("attributes"), wanted)).alias("attribute", "value"))
+
+
+def may_purge(last_purge_ms: int | None, now_ms: int, apart_ms: int = 60_000) -> bool:
+    """A queue is purged at most once a minute."""
+    return last_purge_ms is None or now_ms - last_purge_ms >= apart_ms

@@ -75,3 +75,10 @@ def write_log(log: DataFrame, path: str, partitions: int | None = None) -> None:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).parquet(path)
+
+
+def read_as_of(spark: SparkSession, path: str, ts: int | None = None) -> DataFrame:
+    """A stored log's rows as a reader sees them: at ts, or the latest."""
+    from ..operators.versions import snapshot
+
+    return snapshot(read_log(spark, path), (1 << 63) - 1 if ts is None else ts)

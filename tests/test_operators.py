@@ -364,3 +364,27 @@ def test_streams(spark, sf, tmp_path):
     got = []
     flows.dual_write(source, lambda b: got.append(b.count()), lambda b: got.append(-b.count()), str(tmp_path / "c4")).awaitTermination(120)
     assert sum(x for x in got if x > 0) == events.count() and sum(got) == 0
+
+
+def test_buckets_uploads_and_files(spark, tmp_path):
+    buckets = objects.create_bucket(spark.createDataFrame([("b", 1, 0, "private")], "bucket string, generation long, created_ms long, acl string"), "c", 5)
+    stored = spark.createDataFrame([("b", "k", 1, "e", 0)], "bucket string, key string, size long, etag string, modified long")
+    assert rows(objects.delete_bucket(objects.delete_bucket(buckets, stored, "b"), stored, "c").select("bucket")) == [("b",)]
+    assert rows(objects.set_acl(buckets, "c", "public").select("bucket", "acl")) == [("b", "private"), ("c", "public")]
+    parts = spark.createDataFrame([("u", 1, "0a" * 16, 5, 1), ("u", 1, "0b" * 16, 6, 2), ("u", 2, "0c" * 16, 7, 1)], "upload string, part int, etag string, size long, sent_ms long")
+    wanted = spark.createDataFrame([(1, "0b" * 16), (2, "0c" * 16)], "part int, etag string")
+    done = {r.key: r for r in objects.complete_upload(stored, parts, wanted, "b", "new", "u", 9).collect()}
+    assert done["new"].size == 13 and done["new"].etag.endswith("-2") and set(done) == {"k", "new"}
+    assert objects.complete_upload(stored, parts, wanted.withColumn("etag", F.lit("x")), "b", "new", "u", 9).count() == 1
+    e = spark.createDataFrame([(0, "a", 1), (1, "c", 3)], "parent long, name string, inode long")
+    e = objects.make_entries(e, spark.createDataFrame([(0, "a", 9), (0, "z", 4)], "parent long, name string, inode long"))
+    assert rows(objects.unlink(objects.unlink(e, 0, "a"), 0, "z")) == [(0, "a", 1), (1, "c", 3)]
+    chunks = spark.createDataFrame([(1, 0, b"abcd"), (1, 1, b"efgh"), (2, 0, b"x")], "inode long, chunk int, data binary")
+    chunks = objects.write_chunks(chunks, spark.createDataFrame([(1, 1, b"EFGH")], "inode long, chunk int, data binary"))
+    assert bytes(objects.read_file(objects.truncate(chunks, 1, 6, 4), 1).first().data) == b"abcdEF"
+    q = queues.create_queue(spark.createDataFrame([], "name string, attributes map<string,string>, tags map<string,string>, created_ms long"), "q", {"a": "1", "b": "2"}, 0)
+    q = queues.tag(queues.set_attributes(q, "q", {"b": "3"}), "q", {"t": "x"})
+    assert rows(queues.get_attributes(q, "q", ["All"])) == [("a", "1"), ("b", "3")] and q.first().tags == {"t": "x"} and queues.may_purge(None, 0) and not queues.may_purge(1, 60_000)
+    log = spark.createDataFrame([("k", 1, "v", False, 0), ("k", 5, "w", False, 0)], dumps.LOG)
+    dumps.write_log(log, str(tmp_path / "log"), 1)
+    assert dumps.read_as_of(spark, str(tmp_path / "log")).first().value == "w" and dumps.read_as_of(spark, str(tmp_path / "log"), 2).first().value == "v"
