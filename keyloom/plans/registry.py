@@ -49,7 +49,6 @@ def stamp(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
-_RANGE = {":c": 19, ":a": stamp("1995-01-01"), ":b": stamp("2001-12-31"), ":p": 100000}
 _PICK = "o_orderkey, o_orderdate, o_totalprice"
 
 
@@ -60,7 +59,7 @@ def _(s, d):
 
 @query("query_limit_then_filter", f"SELECT {_PICK} FROM (SELECT * FROM orders WHERE o_custkey = 19 AND o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '2001-12-31' ORDER BY o_orderdate, o_orderkey LIMIT 10) WHERE o_totalprice > 100000")
 def _(s, d):
-    return tables.query(orders(s, d), "o_custkey = :c AND o_orderdate BETWEEN :a AND :b", filter="o_totalprice > :p", values=_RANGE, limit=10, project=_PICK).items
+    return tables.query(orders(s, d), "o_custkey = :c AND o_orderdate BETWEEN :a AND :b", filter="o_totalprice > :p", values={":c": 19, ":a": stamp("1995-01-01"), ":b": stamp("2001-12-31"), ":p": 100000}, limit=10, project=_PICK).items
 
 
 @query("query_range_between", f"SELECT {_PICK} FROM orders WHERE o_custkey = 19 AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31'")
@@ -639,7 +638,7 @@ def _(s, d):
     return structures.get_strings(strings(s, d), s.range(1, 400).select(F.col("id").alias("key")), 10050)
 
 
-@query("string_set_if_new", f"SELECT key, expire_at_ms = 0 OR expire_at_ms > 10050 AS had FROM ({_S}) WHERE key BETWEEN 1 AND 299")
+@query("string_set_if_new", f"SELECT range AS key, coalesce(expire_at_ms = 0 OR expire_at_ms > 10050, FALSE) AS had FROM range(1, 300) LEFT JOIN ({_S}) s ON s.key = range")
 def _(s, d):
     new = s.range(1, 300).select(F.col("id").alias("key"), F.lit("n").alias("value"))
     return structures.set_strings(strings(s, d), new, 10050, only_new=True)[1].select("key", (~F.col("done")).alias("had"))
@@ -833,13 +832,11 @@ def _(s, d):
     return objects.list_objects(table(s, d, "pages").select(F.col("url").alias("key")), "https://", "", "https://m.", 25).select("name")
 
 
-_CHUNKED = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.lit(1).alias("part"), i.alias("chunk")))
-
-
 def chunks(spark, d) -> DataFrame:
     """The bytes of nation names, five to a chunk."""
     rows = table(spark, d, "part").select(F.lit("b").alias("bucket"), F.col("p_partkey").cast("string").alias("key"), F.encode("p_name", "UTF-8").alias("all"))
-    cut = rows.select("bucket", "key", "all", F.explode(_CHUNKED).alias("c")).select("bucket", "key", "c.part", "c.chunk", F.substring("all", F.col("c.chunk") * 5 + 1, F.when(F.col("c.chunk") < 4, F.lit(5)).otherwise(F.lit(1 << 20))).alias("data"))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.lit(1).alias("part"), i.alias("chunk")))
+    cut = rows.select("bucket", "key", "all", F.explode(numbers).alias("c")).select("bucket", "key", "c.part", "c.chunk", F.substring("all", F.col("c.chunk") * 5 + 1, F.when(F.col("c.chunk") < 4, F.lit(5)).otherwise(F.lit(1 << 20))).alias("data"))
     return cut.where(F.octet_length("data") > 0)
 
 
