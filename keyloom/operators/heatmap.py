@@ -5,7 +5,6 @@ facts: route_id, at (window end), sub_bucket, reads, writes, and for merges node
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,29 +68,27 @@ def hot_keys_sketch(rows: DataFrame, key: str, k: int, counters: int = 1000) ->
 
 
 def space_saving(rows: DataFrame, key: str, counters: int) -> DataFrame:
-    """key, n, error of a Space-Saving summary: one summary a task, merged by key; a key above rows / counters is always there, and n is no less than its count."""
+    """key, n, error of a frequent-items summary of `counters` counters a task, merged by key.
+
+    A task that holds more counters lowers all by the largest it can't keep. n is the count and all
+    that was lowered, in any task, so n is no less than the true count and n - error no more; a key that
+    has more than rows / counters is always there."""
 
     def local(batches):
-        table: dict = {}
+        held, lowered = pd.Series(dtype="int64"), 0
         for pdf in batches:
-            for x, c in pdf[key].value_counts().items():
-                if x in table:
-                    table[x][0] += c
-                elif len(table) < counters:
-                    table[x] = [c, 0]
-                else:
-                    low = min(table, key=lambda y: table[y][0])
-                    least = table.pop(low)[0]
-                    table[x] = [least + c, least]
-        floor = min((v[0] for v in table.values()), default=0) if len(table) >= counters else 0
-        yield pd.DataFrame({key: list(table), "n": [int(v[0]) for v in table.values()], "error": [int(v[1]) for v in table.values()], "floor": np.full(len(table), floor, "int64")})
+            held = held.add(pdf[key].value_counts(), fill_value=0).astype("int64")
+            if len(held) > counters:
+                cut = int(held.nlargest(counters + 1).iloc[-1])
+                held, lowered = held[held > cut] - cut, lowered + cut
+        yield pd.DataFrame({key: pd.Series([*held.index, None], dtype=object), "n": [*held.tolist(), 0], "lowered": lowered})
 
     kind = dict(rows.dtypes)[key]
-    parts = rows.select(key).mapInPandas(local, f"{key} {kind}, n long, error long, floor long").withColumn("task", F.spark_partition_id())
-    floors = parts.groupBy("task").agg(F.max("floor").alias("f")).agg(F.sum("f").alias("all"))
-    merged = parts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("error").alias("error"), F.sum("floor").alias("own"))
-    missed = F.col("all") - F.col("own")  # in tasks that dropped the key it may have had up to the task's floor
-    return merged.join(F.broadcast(floors)).select(key, (F.col("n") + missed).alias("n"), (F.col("error") + missed).alias("error")).orderBy(F.col("n").desc(), key).limit(counters)
+    parts = rows.select(key).mapInPandas(local, f"{key} {kind}, n long, lowered long")
+    # the row without a key stands for its task
+    total = parts.where(F.col(key).isNull()).agg(F.coalesce(F.sum("lowered"), F.lit(0)).alias("error"))
+    merged = parts.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias("n"))
+    return merged.join(F.broadcast(total)).select(key, (F.col("n") + F.col("error")).alias("n"), "error").orderBy(F.col("n").desc(), key).limit(counters)
 
 
 def sampled_counts(rows: DataFrame, key: str, rate: int, k: int, most_length: int = 1024) -> DataFrame:

@@ -388,3 +388,11 @@ def test_buckets_uploads_and_files(spark, tmp_path):
     log = spark.createDataFrame([("k", 1, "v", False, 0), ("k", 5, "w", False, 0)], dumps.LOG)
     dumps.write_log(log, str(tmp_path / "log"), 1)
     assert dumps.read_as_of(spark, str(tmp_path / "log")).first().value == "w" and dumps.read_as_of(spark, str(tmp_path / "log"), 2).first().value == "v"
+
+
+def test_route_load_and_key_numbers(spark):
+    facts = spark.createDataFrame([(1, 2, 3), (1, 4, 5), (2, 1, 0)], "route_id int, reads long, writes long")
+    assert rows(routes.route_load(facts)) == [(1, 6, 8), (2, 1, 0)]
+    got = spark.createDataFrame([("pre\x01",), ("pre",), ("preabcdefghij",)], "k string").select(routes.key_number(F.col("k"), 3).alias("n")).collect()
+    assert sorted(int(r.n) for r in got) == [0, 1 << 56, int.from_bytes(b"abcdefgh", "big")]
+    assert [r[0] for r in spark.range(1).select(routes.sub_bucket(F.lit(-5), F.lit(0), F.lit(10), 4), routes.sub_bucket(F.lit(99), F.lit(0), F.lit(10), 4)).collect()] == [0]
