@@ -27,6 +27,8 @@ SIMILARITY = 0.8
 REPEATS, STEPS, SAMPLED, STAGES = 5, 36, 18, (6, 10, 18)
 #: Shorter items (in bytes) are searched as they are. Items that one pass over the texts looks for.
 SHORT, BLOCK_ITEMS = 32, 4_000
+#: A proposed window goes on to the full comparison if this many bytes at the agreeing place are within so many edits of the item's.
+HEAD, HEAD_EDITS = 48, 15
 _BITS = 20
 _NORMAL = np.array([32 if c in (9, 10, 11, 12, 13) else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -38,10 +40,13 @@ def _tables(repeat: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2, (STEPS, 256), dtype=np.int32), np.sort(rng.choice(STEPS, SAMPLED, replace=False))
 
 
-def word_starts(data: np.ndarray) -> np.ndarray:
+def word_starts(data: np.ndarray, tops: np.ndarray | None = None) -> np.ndarray:
+    """Where words begin; tops: where texts do."""
     space = data == 32
     start = ~space
     start[1:] &= space[:-1]
+    if tops is not None:
+        start[tops] = ~space[tops]
     return np.flatnonzero(start)
 
 
@@ -109,9 +114,13 @@ def build(items: list[tuple[int, str]]) -> Index:
     return Index([i for i, _ in items], [r.decode("utf-8", "replace") for r in raw], raw, tables, short)
 
 
-def best_alignment(item: str, text: str) -> tuple[int, int, int]:
-    """(distance, start, end) of the part of text nearest to the whole item by edit distance; first end, then latest start."""
+def best_alignment(item: str, text: str, most: float = float("inf")) -> tuple[int, int, int]:
+    """(distance, start, end) of the part of text nearest to the whole item by edit distance; first end, then latest start.
+
+    Beyond `most` the start isn't sought and is the end."""
     d, end = _ends(item, text)
+    if d > most:
+        return d, end, end
     _, back = _ends(item[::-1], text[:end][::-1], d)
     return d, end - back, end
 
@@ -143,10 +152,8 @@ def _ends(item: str, text: str, wanted: int | None = None) -> tuple[int, int]:
 def find(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item, distance, start, end) of verified leaks in texts that lie back to back; start and end in code points."""
     body = np.concatenate((_NORMAL[data], np.full(STEPS + 4, 32, np.uint8)))
-    starts = word_starts(body[: len(data)])
-    extra = offsets[:-1][(offsets[:-1] < len(data))]
-    starts = np.union1d(starts, extra[body[extra] != 32])
-    proposed: list[tuple[np.ndarray, np.ndarray]] = []
+    starts = word_starts(body[: len(data)], offsets[:-1][offsets[:-1] < len(data)])
+    proposed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for r, (maps, keys, item, offset) in enumerate(index.tables):
         if not len(keys):
             continue
@@ -157,25 +164,31 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
         n = hi - lo
         which = np.repeat(np.arange(len(left)), n)
         entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        proposed.append((item[entry], starts[left[which]] - offset[entry]))
+        proposed.append((item[entry], starts[left[which]] - offset[entry], offset[entry]))
     found = []
     if proposed:
-        items, begin = np.concatenate([p[0] for p in proposed]), np.concatenate([p[1] for p in proposed])
+        items, begin, offset = (np.concatenate([p[i] for p in proposed]) for i in range(3))
         middle = np.clip(begin + np.array([len(r) // 2 for r in index.raw])[items], 0, max(0, len(data) - 1))
         row = np.clip(np.searchsorted(offsets, middle, "right") - 1, 0, len(offsets) - 2)
         done: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r, k, b in sorted(set(zip(row.tolist(), items.tolist(), begin.tolist()))):
+        for r, k, b, o in sorted(set(zip(row.tolist(), items.tolist(), begin.tolist(), offset.tolist()))):
             size = len(index.raw[k])
             slack = size // 4 + 8
             low, high = max(int(offsets[r]), b - slack), min(int(offsets[r + 1]), b + size + slack)
             seen = done.setdefault((r, k), [])
             if any(x <= low + slack // 2 and high - slack // 2 <= y for x, y in seen):
                 continue
+            # Of a leak's stretches of HEAD bytes one at least has no more than its share of the edits; there is room for some more.
+            o = max(0, min(o, size - HEAD))
+            near = body[max(low, b + o - HEAD // 4) : min(high, b + o + HEAD * 3 // 2)].tobytes().decode("latin-1")
+            if _ends(index.raw[k][o : o + HEAD].decode("latin-1"), near)[0] > HEAD_EDITS:
+                continue
             seen.append((low, high))
             text = body[low:high].tobytes().decode("utf-8", "ignore")
             want = index.texts[k]
-            distance, s, e = best_alignment(want, text)
-            if distance <= (1 - SIMILARITY) * len(want) + 1e-9:
+            most = (1 - SIMILARITY) * len(want) + 1e-9
+            distance, s, e = best_alignment(want, text, most)
+            if distance <= most:
                 before = int(np.count_nonzero(data[int(offsets[r]) : low] & 0xC0 != 0x80))
                 found.append((r, k, distance, before + s, before + e))
     for k in index.short:
