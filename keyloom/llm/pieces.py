@@ -26,23 +26,28 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Pieces of text that a worker remembers, and the longest that it does; both bound its memory only.
-REMEMBERED, LONGEST = 400_000, 40
+REMEMBERED, LONGEST = 200_000, 40
+#: The same for beginnings of HEAD characters, and for pairs of pieces.
+HEAD, HEADS, FITS = 8, 80_000, 500_000
 _NEVER = 1 << 60
 
 
 @dataclass
 class Transducer:
-    """pieces: text to (id, rank), the lowest rank merged first; fallback: ids of the 256 byte pieces; texts: bytes by id."""
+    """pieces: text to (id, rank), the lowest rank merged first; fallback: ids of the 256 byte pieces; texts: bytes by id; digest: of the model file."""
 
     pieces: dict[str, tuple[int, int]]
     fallback: list[int]
     texts: list[bytes]
+    digest: str = ""
     _fits: dict[int, bool] = field(default_factory=dict)
     _spines: dict[str, tuple[list, list]] = field(default_factory=dict)
     _known: dict[str, bytes] = field(default_factory=dict)
+    _older: dict[str, bytes] = field(default_factory=dict)
+    _heads: dict[str, tuple[list[int], list[int]]] = field(default_factory=dict)
 
     def __getstate__(self) -> tuple:
-        return self.pieces, self.fallback, self.texts
+        return self.pieces, self.fallback, self.texts, self.digest
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
@@ -113,8 +118,15 @@ class Transducer:
         """Ids (4 bytes each, little-endian) of the path of finite weight through the lattice of unit."""
         root, weigh, name = self.backward, self._fits, self.names
         # Of the path to each position: its last piece (-1: none, or a character in byte pieces) and where that begins.
-        last, begin = [-1], [0]
-        for i in range(len(unit)):
+        # It depends on what stands before alone, so units that begin alike share it.
+        head = unit[:HEAD]
+        known = self._heads.get(head)
+        last, begin = (known[0][:], known[1][:]) if known else ([-1], [0])
+        for i in range(len(last) - 1, len(unit)):
+            if i == HEAD and not known:
+                if len(self._heads) >= HEADS:
+                    self._heads.clear()
+                self._heads[head] = last[:], begin[:]
             node, k, arcs = root, i, []
             while k >= 0:
                 node = node.get(unit[k])
@@ -128,7 +140,7 @@ class Transducer:
                 if before >= 0:
                     fit = weigh.get(before << 32 | piece)
                     if fit is None:
-                        if len(weigh) > REMEMBERED:
+                        if len(weigh) >= FITS:
                             weigh.clear()
                         fit = weigh[before << 32 | piece] = self.fits(name[before], name[piece])
                     if not fit:
@@ -151,14 +163,16 @@ class Transducer:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, "<i4")
-        out, known = [], self._known
+        out, known, older = [], self._known, self._older
         for unit in self.units.findall(SPACE + text.replace(" ", SPACE)):
             ids = known.get(unit)
             if ids is None:
-                ids = self.shortest(unit)
+                ids = older.get(unit)
+                if ids is None:
+                    ids = self.shortest(unit)
                 if len(unit) <= LONGEST:
                     if len(known) >= REMEMBERED:
-                        known.clear()
+                        known, older = self._known, self._older = {}, known
                     known[unit] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), "<i4")
@@ -169,6 +183,17 @@ class Transducer:
         return b"".join([texts[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
+_resident: dict[str, Transducer] = {}
+
+
+def resident(machine: Transducer) -> Transducer:
+    """The worker's own copy, which remembers what earlier tasks have met."""
+    if machine.digest not in _resident:
+        _resident.clear()
+        _resident[machine.digest] = machine
+    return _resident[machine.digest]
+
+
 def load(path: str = MODEL) -> Transducer:
     """Compiles a SentencePiece BPE model file with the identity normaliser."""
     import sentencepiece
@@ -183,7 +208,7 @@ def load(path: str = MODEL) -> Transducer:
     texts = [bytes([int(name[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else name[i].replace(SPACE, " ").encode() for i in range(n)]
     if model.encode("  a ﬁ", out_type=str) != model.encode("  a", out_type=str) + model.encode(" ﬁ", out_type=str)[1:]:
         raise ValueError("the model's normaliser is not the identity")
-    return Transducer({name[i]: (i, ranks[score[i]]) for i in normal}, [fallback.get(b, model.unk_id()) for b in range(256)], texts)
+    return Transducer({name[i]: (i, ranks[score[i]]) for i in normal}, [fallback.get(b, model.unk_id()) for b in range(256)], texts, hashlib.sha256(model.serialized_model_proto()).hexdigest())
 
 
 def encode_decode(docs: DataFrame, path: str = MODEL, with_ids: bool = False) -> DataFrame:
@@ -193,9 +218,12 @@ def encode_decode(docs: DataFrame, path: str = MODEL, with_ids: bool = False) ->
     Null and empty texts have no tokens, and round_trip is true. Repeated rows and null ids keep their
     rows; other columns are ignored; an empty table gives an empty result.
     """
-    machine = load(path)
+    compiled = load(path)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from keyloom.llm.pieces import resident as kept  # by import: the function itself is sent by value
+
+        machine = kept(compiled)
         bytes_ids = np.zeros(len(machine.texts), bool)
         bytes_ids[machine.fallback] = True
         for batch in batches:
