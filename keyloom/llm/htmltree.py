@@ -4,8 +4,9 @@ Pages of a host are merged into one tree of style nodes (path of tags with class
 A text block's node is important as far as its content differs over the host's distinct pages (the
 entropy of its values by the logarithm of their number), an inner node by the weighted importance of
 the blocks below and the entropy of its presentations (sequences of child tags). Branches that are,
-with all blocks in them, below a threshold are removed from each page, and elements whose tag, role or
-class says that they are no article text. Within an article element only the latter go, as an article's parts are content.
+with all blocks in them, below a threshold are removed from each page, in article elements too, and so
+are elements whose tag, role or class says that they are no article text. On a page with an article element
+a block outside it stays where the tree has seen enough of its node to know it as important.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def host_of(url: str | None) -> str:
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page: host, a hash of the page, content values (node, ancestors, value) and presentations (node, value)."""
-    content = pa.list_(pa.struct([("node", pa.int64()), ("above", pa.list_(pa.int64())), ("value", pa.int64())]))
+    content = pa.list_(pa.struct([("node", pa.int64()), ("above", pa.list_(pa.int64())), ("value", pa.int64()), ("loose", pa.bool_())]))
     shown = pa.list_(pa.struct([("node", pa.int64()), ("value", pa.int64())]))
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
@@ -152,13 +153,14 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for url, source in zip(urls, sources):
                 page, values = Page(source or ""), []
                 keys = {n.path: _key(n.path) for n in page.nodes}
+                some = any(n.article and not n.noise for n, _ in page.blocks)
                 for node, text in page.blocks:
                     if not node.noise:
                         above, up = [], node
                         while up.up:
                             above.append(keys[up.path])
                             up = up.up
-                        values.append({"node": keys.get(node.path, 0), "above": above, "value": _key(text)})
+                        values.append({"node": keys.get(node.path, 0), "above": above, "value": _key(text), "loose": some and not node.article})
                 rows[0].append(host_of(url))
                 rows[1].append(_key(source or ""))
                 rows[2].append(values)
@@ -167,33 +169,35 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def noise_nodes(pages: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_SEEN) -> DataFrame:
-    """(host, noise): the style nodes of each host that are below the threshold, over its distinct pages."""
+    """(host, noise, important): the style nodes of each host that are below the threshold, and those above it that have blocks outside a page's article elements, over its distinct pages."""
     parsed = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(
-        _stats, "host string, page long, content array<struct<node:long,above:array<long>,value:long>>, shown array<struct<node:long,value:long>>"
+        _stats, "host string, page long, content array<struct<node:long,above:array<long>,value:long,loose:boolean>>, shown array<struct<node:long,value:long>>"
     )
     distinct = parsed.groupBy("host", "page").agg(F.first("content").alias("content"), F.first("shown").alias("shown"))
     pairs = distinct.select("host", F.explode(F.concat(
-        F.transform("content", lambda x: F.struct(F.lit(0).alias("kind"), x["node"].alias("node"), x["value"].alias("value"), x["above"].alias("above"))),
-        F.transform("shown", lambda x: F.struct(F.lit(1).alias("kind"), x["node"].alias("node"), x["value"].alias("value"), F.lit(None).cast("array<bigint>").alias("above"))),
+        F.transform("content", lambda x: F.struct(F.lit(0).alias("kind"), x["node"].alias("node"), x["value"].alias("value"), x["above"].alias("above"), x["loose"].alias("loose"))),
+        F.transform("shown", lambda x: F.struct(F.lit(1).alias("kind"), x["node"].alias("node"), x["value"].alias("value"), F.lit(None).cast("array<bigint>").alias("above"), F.lit(False).alias("loose"))),
     )).alias("x")).select("host", "x.*")
-    counts = pairs.groupBy("host", "kind", "node", "value").agg(F.count("*").cast("double").alias("n"), F.first("above").alias("above"))
-    sums = counts.groupBy("host", "kind", "node").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.first("above").alias("above"))
+    counts = pairs.groupBy("host", "kind", "node", "value").agg(F.count("*").cast("double").alias("n"), F.first("above").alias("above"), F.max("loose").alias("loose"))
+    sums = counts.groupBy("host", "kind", "node").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.first("above").alias("above"), F.max("loose").alias("loose"))
     share = (F.log("seen") - F.col("nlogn") / F.col("seen")) / F.log("seen")
     sums = sums.withColumn("importance", F.when(F.col("seen") > 1, share).otherwise(1.0))
-    both = sums.select("host", "kind", "seen", "importance", F.explode(F.when(F.col("kind") == 0, F.col("above")).otherwise(F.array("node"))).alias("node"))
+    both = sums.select("host", "kind", "seen", "importance", F.when(F.col("loose"), F.col("node")).alias("own"), F.explode(F.when(F.col("kind") == 0, F.col("above")).otherwise(F.array("node"))).alias("node"))
     of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c))
-    nodes = both.groupBy("host", "node").agg(of(0, F.col("seen")).alias("seen"), of(0, F.col("seen") * F.col("importance")).alias("sum"), F.max(F.when(F.col("kind") == 0, F.col("importance"))).alias("most"), of(1, F.col("importance")).alias("shown"))
+    nodes = both.groupBy("host", "node").agg(of(0, F.col("seen")).alias("seen"), of(0, F.col("seen") * F.col("importance")).alias("sum"), F.max(F.when(F.col("kind") == 0, F.col("importance"))).alias("most"), of(1, F.col("importance")).alias("shown"), F.max(F.col("own").eqNullSafe(F.col("node"))).alias("loose"))
     whole = (1 - PRESENTATION) * F.col("sum") / F.col("seen") + PRESENTATION * F.coalesce("shown", F.lit(0.0))
-    low = nodes.where((F.col("seen") >= least) & (whole < threshold) & ((1 - PRESENTATION) * F.col("most") < threshold))
-    return low.groupBy("host").agg(F.collect_list("node").alias("noise"))
+    low = (whole < threshold) & ((1 - PRESENTATION) * F.col("most") < threshold)
+    judged = nodes.where(F.col("seen") >= least).select("host", "node", low.alias("low"), (F.col("loose") & (whole >= threshold)).alias("high"))
+    return judged.groupBy("host").agg(F.collect_list(F.when(F.col("low"), F.col("node"))).alias("noise"), F.collect_list(F.when(F.col("high"), F.col("node"))).alias("important"))
 
 
-def main_text(source: str | None, noise: set[int]) -> str:
-    """Article text of a page: its blocks but noise, in page order, joined by one space."""
+def main_text(source: str | None, noise: set[int], important: set[int] = frozenset()) -> str:
+    """Article text of a page: its blocks but noise, in page order, joined by one space; of a page with an
+    article element, the blocks outside it only where they are important."""
     page = Page(source or "")
     blocks = [(n, t) for n, t in page.blocks if not n.noise]
     if any(n.article for n, _ in blocks):
-        return " ".join(t for n, t in blocks if n.article)
+        blocks = [(n, t) for n, t in blocks if n.article or _key(n.path) in important]
     out, known = [], {}
     for node, text in blocks:
         up, keep = node, True
@@ -210,7 +214,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            texts = [main_text(s, set(n or ())) for s, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            texts = [main_text(s, set(n or ()), set(i or ())) for s, n, i in zip(*(part.column(c).to_pylist() for c in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -223,7 +227,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     noise = noise_nodes(pages)
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    return rows.join(noise, "host", "left").select("page_id", "url", "html", "noise").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(noise, "host", "left").select("page_id", "url", "html", "noise", "important").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html(spark, sf_dir: str) -> DataFrame:
