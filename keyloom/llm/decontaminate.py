@@ -5,7 +5,8 @@ walk moves on if a random bit of (j, character) says so. Few edits change few ou
 fall into step again after an edit. Each of REPEATS tables has its own random bits and samples SAMPLED
 of the outputs as a key. Windows begin at every word of a text and of an item; a text's window that
 agrees with an item's in some table proposes the item-sized window around it, which is verified by
-exact edit distance (the best alignment of the whole item within it).
+exact edit distance (the best alignment of the whole item within it). In runs of more than RUN bytes
+without a space windows begin at every character.
 
 A key is checked as it grows, against bit maps of the items' keys after a few samples, so most windows
 are given up early; that loses no window whose whole key agrees.
@@ -29,6 +30,8 @@ REPEATS, STEPS, SAMPLED, STAGES = 5, 36, 18, (6, 10, 18)
 SHORT, BLOCK_ITEMS = 32, 4_000
 #: A proposed window goes on to the full comparison if this many bytes at the agreeing place are within so many edits of the item's.
 HEAD, HEAD_EDITS = 48, 15
+#: Longest run without a space (in bytes) that has its windows at its beginning only.
+RUN = 16
 _BITS = 20
 _NORMAL = np.array([32 if c in (9, 10, 11, 12, 13) else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -41,12 +44,17 @@ def _tables(repeat: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_starts(data: np.ndarray, tops: np.ndarray | None = None) -> np.ndarray:
-    """Where words begin; tops: where texts do."""
+    """Where words begin, and every character of runs of more than RUN bytes without a space; tops: where texts do."""
     space = data == 32
     start = ~space
     start[1:] &= space[:-1]
     if tops is not None:
         start[tops] = ~space[tops]
+    at = np.flatnonzero(start)
+    edges = np.flatnonzero(start | space)  # a run ends at the next of them
+    after = np.append(edges, len(data))[np.searchsorted(edges, at, "right")]
+    for a, b in zip(at[after - at > RUN].tolist(), after[after - at > RUN].tolist()):
+        start[a:b] |= (data[a:b] & 0xC0) != 0x80
     return np.flatnonzero(start)
 
 
