@@ -6,7 +6,8 @@ fall into step again after an edit. Each of REPEATS tables has its own random bi
 of the outputs as a key. Windows begin at every word of a text and of an item; a text's window that
 agrees with an item's in some table proposes the item-sized window around it, which is verified by
 exact edit distance (the best alignment of the whole item within it). In runs of more than RUN bytes
-without a space windows begin at every character.
+without a space windows begin at every character. Shorter items use more tables (TABLES), and those of
+up to EVERYWHERE characters are held against every place of the texts, bit-parallel, without windows.
 
 A key is checked as it grows, against bit maps of the items' keys after a few samples, so most windows
 are given up early; that loses no window whose whole key agrees.
@@ -26,8 +27,14 @@ from .shared import blocks, stash, text_bytes
 
 SIMILARITY = 0.8
 REPEATS, STEPS, SAMPLED, STAGES = 5, 36, 18, (6, 10, 18)
-#: Shorter items (in bytes) are searched as they are. Items that one pass over the texts looks for.
-SHORT, BLOCK_ITEMS = 32, 4_000
+#: Tables of items below so many bytes, for a recall of 0.9 at the similarity; longer items have REPEATS.
+TABLES = ((75, 36), (90, 20), (140, 14), (170, 8))
+#: Items of up to so many characters are held against every place. Items that one pass over the texts looks for.
+EVERYWHERE, BLOCK_ITEMS = 64, 4_000
+#: Bytes that a window of an item has at least.
+SHORT = 32
+#: Characters of a text that one lane of the search for short items reads.
+LANE = 512
 #: A proposed window goes on to the full comparison if this many bytes at the agreeing place are within so many edits of the item's.
 HEAD, HEAD_EDITS = 48, 15
 #: Longest run without a space (in bytes) that has its windows at its beginning only.
@@ -102,7 +109,7 @@ def normal(text: str) -> bytes:
 
 def build(items: list[tuple[int, str]]) -> Index:
     raw = [normal(t) for _, t in items]
-    short = [k for k, r in enumerate(raw) if 0 < len(r) < SHORT]
+    short = [k for k, r in enumerate(raw) if 0 < len(r.decode("utf-8", "replace")) <= EVERYWHERE]
     joined = np.frombuffer(b" ".join([*raw, b" " * STEPS]), np.uint8)
     begins = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
     at = word_starts(joined)
@@ -110,7 +117,10 @@ def build(items: list[tuple[int, str]]) -> Index:
     fits = (item < len(raw)) & (begins[np.minimum(item + 1, len(begins) - 1)] - 1 - at >= SHORT * 3 // 4) & np.isin(item, short, invert=True)
     at, item = at[fits], item[fits]
     tables = []
-    for r in range(REPEATS):
+    wanted = np.array([next((n for size, n in TABLES if len(r) < size), REPEATS) for r in raw], np.int64)
+    every, owner = at, item
+    for r in range(max([REPEATS, *wanted.tolist()])):
+        at, item = every[wanted[owner] > r], owner[wanted[owner] > r]
         left, keys = walk(joined, at, r)
         maps = []
         for k in keys:
@@ -157,6 +167,58 @@ def _ends(item: str, text: str, wanted: int | None = None) -> tuple[int, int]:
     return best, at
 
 
+def near_ends(item: np.ndarray, points: np.ndarray, most: int) -> np.ndarray:
+    """Where parts of points end that are within `most` edits of item (1 to 64 code points): lanes of the text side by side."""
+    m, one = len(item), np.uint64(1)
+    chars, where = np.unique(item, return_inverse=True)
+    masks = np.zeros(len(chars) + 1, np.uint64)
+    for i, c in enumerate(where.tolist()):
+        masks[c] |= one << np.uint64(i)
+    symbols = np.minimum(np.searchsorted(chars, points), len(chars) - 1)
+    symbols[chars[symbols] != points] = len(chars)
+    lead, lanes = m + most, -(-len(points) // LANE)
+    symbols = np.concatenate((np.full(lead, len(chars)), symbols, np.full(lanes * LANE - len(points), len(chars))))
+    base, top = np.arange(lanes) * LANE, np.uint64(m - 1)
+    up, down, score = np.full(lanes, 2**64 - 1, np.uint64), np.zeros(lanes, np.uint64), np.full(lanes, m, np.int64)
+    found = []
+    for j in range(lead + LANE):
+        eq = masks[symbols[base + j]]
+        d0 = (((eq & up) + up) ^ up) | eq | down
+        hp, hn = down | ~(d0 | up), up & d0
+        score += ((hp >> top) & one).astype(np.int64) - ((hn >> top) & one).astype(np.int64)
+        hp, hn = hp << one, hn << one
+        up, down = hn | ~(d0 | hp), hp & d0
+        if j >= lead:
+            found.append(base[score <= most] + (j - lead + 1))
+    ends = np.sort(np.concatenate(found))
+    return ends[ends <= len(points)]
+
+
+def _near(index: Index, body: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """What find gives for the short items."""
+    found = []
+    points = np.frombuffer(body.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    upto = np.concatenate(([0], np.cumsum(body & 0xC0 != 0x80)))
+    tops = upto[offsets - offsets[0]]
+    for k in index.short:
+        want = index.texts[k]
+        m = len(want)
+        most = int((1 - SIMILARITY) * m + 1e-9)
+        ends = near_ends(np.frombuffer(want.encode("utf-32-le"), np.uint32), points, most)
+        group = np.cumsum(np.diff(ends, prepend=ends[:1]) > 1) if len(ends) else ends
+        cuts = {(int(np.searchsorted(tops, e - 1, "right")) - 1, int(g), int(e) // max(1, m // 2)): int(e) for e, g in zip(ends, group)}
+        for (r, _, _), e in cuts.items():
+            low, high = max(int(tops[r]), e - 2 * m - most), e
+            text = points[low:high].tobytes().decode("utf-32-le")
+            d, a, b = best_alignment(want, text, most)
+            if d > most:
+                continue
+            before, after = low + a == tops[r] or points[low + a - 1] == 32, low + b == tops[r + 1] or points[low + b] == 32
+            if most or (before and after):  # without room for an edit the item has to be whole words
+                found.append((r, k, d, low + a - int(tops[r]), low + b - int(tops[r])))
+    return found
+
+
 def find(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item, distance, start, end) of verified leaks in texts that lie back to back; start and end in code points."""
     body = np.concatenate((_NORMAL[data], np.full(STEPS + 4, 32, np.uint8)))
@@ -199,15 +261,8 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
             if distance <= most:
                 before = int(np.count_nonzero(data[int(offsets[r]) : low] & 0xC0 != 0x80))
                 found.append((r, k, distance, before + s, before + e))
-    for k in index.short:
-        whole, need = body[: len(data)].tobytes(), index.raw[k]
-        at = whole.find(need)
-        while at >= 0:
-            r = int(np.searchsorted(offsets, at, "right")) - 1
-            if at + len(need) <= offsets[r + 1] and (at == offsets[r] or whole[at - 1] == 32) and (at + len(need) == offsets[r + 1] or whole[at + len(need)] == 32):
-                before = int(np.count_nonzero(data[int(offsets[r]) : at] & 0xC0 != 0x80))
-                found.append((r, k, 0, before, before + len(index.texts[k])))
-            at = whole.find(need, at + 1)
+    if index.short and len(data):
+        found += _near(index, body[: len(data)], offsets)
     best: dict[tuple[int, int], list] = {}
     for f in sorted(found, key=lambda f: (f[0], f[1], f[2], f[3], f[4])):  # overlapping finds of an item: the nearest
         kept = best.setdefault((f[0], f[1]), [])
