@@ -676,7 +676,7 @@ def _(s, d):
 
 @query("command_batch")
 def _(s, d):
-    state = strings(s, d).where("key <= 200").select(F.col("key").cast("string").alias("key"), "value")
+    state = strings(s, d).select(F.col("key").cast("string").alias("key"), "value")
     steps = F.array(*[F.struct(F.lit(i).cast("long").alias("pos"), F.lit(n).alias("name"), F.lit(a).alias("argument")) for i, (n, a) in enumerate([("INCR", None), ("GET", None), ("SET", "x"), ("INCR", None), ("DEL", None)])])
     return batches.run_batch(state, state.select("key", F.explode(steps).alias("c")).select("key", "c.*"))
 
