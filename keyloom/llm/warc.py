@@ -18,7 +18,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import new_path, stash
@@ -46,10 +46,11 @@ def _record(row: tuple) -> Iterator[str]:
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
     top = f"WARC-Date: {_DATE}\r\nWARC-Target-URI: {uri}\r\nX-Page-Id: {'' if page is None else page}\r\nWARC-Payload-Digest: sha256:{digest}\r\nContent-Type: application/http; msgtype=response\r\n"
     status = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    own = name("record", page, nth)
+    key = (uuid.uuid4(),) if page is None else (page, digest, nth)
+    own = name("record", *key)
     if first is not None and page != first:
         block = f"{status}Content-Length: {size}\r\n\r\n"
-        yield f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: {own}\r\n{top}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: {name('record', first, 0)}\r\nX-Refers-To-Page: {first}\r\nContent-Length: {len(block.encode())}\r\n\r\n{block}"
+        yield f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: {own}\r\n{top}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: {name('record', first, digest, 1)}\r\nX-Refers-To-Page: {first}\r\nContent-Length: {len(block.encode())}\r\n\r\n{block}"
         return
     parts = [html[i : i + CHUNK] for i in range(0, len(html), CHUNK)]
     block = status + "Transfer-Encoding: chunked\r\n\r\n" + "".join(f"{len(p.encode()):x}\r\n{p}\r\n" for p in parts) + "0\r\n\r\n"
@@ -57,7 +58,7 @@ def _record(row: tuple) -> Iterator[str]:
     many, total = len(pieces) > 1, len(block.encode())
     for number, piece in enumerate(pieces, 1):
         kind = "response" if number == 1 else "continuation"
-        this = own if number == 1 else name("segment", page, nth, number)
+        this = own if number == 1 else name("segment", *key, number)
         more = f"WARC-Segment-Number: {number}\r\n" if many else ""
         more += f"WARC-Segment-Origin-ID: {own}\r\n" if number > 1 else ""
         more += f"WARC-Segment-Total-Length: {total}\r\n" if many and number == len(pieces) else ""
@@ -84,9 +85,12 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> str:
 
     Null html is an empty payload, null url about:blank. Of equal payloads of `least` bytes or more
     the smallest page_id is the response; rows that repeat that page_id and payload are responses too.
-    An empty table makes no records.
+    Each record has an id of its own: rows that repeat a page_id and payload are numbered, rows without a
+    page_id get a random one. An empty table makes no records.
     """
-    typed = assign_types(pages, least).withColumn("nth", F.lit(0))
+    alone = F.when(F.col("page_id").isNull(), F.rand())  # spreads rows without an id
+    typed = assign_types(pages, least).withColumn("alone", alone)
+    typed = typed.withColumn("nth", F.row_number().over(Window.partitionBy("digest", "page_id", "alone").orderBy("url")))
     typed = typed.select("page_id", "url", "html", "payload_bytes", "digest", "first_id", "nth")
     records = typed.mapInArrow(_records, "value string")
     records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
