@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Labelled rows that the lexicon and the weights are learned from, at most.
 TRAIN_ROWS = 8_000
 FOLDS, HELD_OUT = 5, 0
-LEXICON, FUZZY, LEAST_DOCS, LEAST_LIFT = 400, 64, 4, 8.0
+LEXICON, LEAST_DOCS, LEAST_LIFT = 400, 4, 8.0
 PREFIX = range(5, 9)
 N_FEATURES = 5
 #: Weight of a hit in a quotation, of each misspelling, and of a word seen before in its text.
@@ -242,7 +242,7 @@ def learn(texts: list[str], toxic: list[int]) -> Model:
             break
     weight = {e: math.log(lift[e]) for e in chosen}
     most = lambda e: 0 if e[1] or len(e[0]) < 4 else 1 if len(e[0]) < 9 else 2
-    fuzzy = {e: most(e) for e in [e for e in chosen if most(e)][:FUZZY]}
+    fuzzy = {e: most(e) for e in chosen if most(e)}
     for e in list(fuzzy):  # words that clean texts often come near to are matched exactly
         probe = build([(e[0], False, 1.0, fuzzy[e])])
         near = 0
