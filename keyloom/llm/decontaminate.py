@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,11 @@ from pyspark.sql import functions as F
 from .shared import blocks, stash, text_bytes
 
 SIMILARITY = 0.8
-REPEATS, STEPS, SAMPLED, STAGES = 5, 36, 18, (6, 10, 18)
+REPEATS, STEPS, SAMPLED, STAGES = 3, 28, 14, (5, 9, 14)
 #: Tables of items below so many bytes, for a recall of 0.9 at the similarity; longer items have REPEATS.
-TABLES = ((75, 36), (90, 20), (140, 14), (170, 8))
-#: Items of up to so many characters are held against every place. Items that one pass over the texts looks for.
-EVERYWHERE, BLOCK_ITEMS = 64, 4_000
+TABLES = ((75, 7), (100, 6), (140, 4))
+#: Items of up to so many characters are held against every place. Items, and bytes of items, that one pass over the texts looks for.
+EVERYWHERE, BLOCK_ITEMS, BLOCK_BYTES = 64, 4_000, 4 << 20
 #: Bytes that a window of an item has at least.
 SHORT = 32
 #: Characters of a text that one lane of the search for short items reads.
@@ -41,13 +42,14 @@ HEAD, HEAD_EDITS = 48, 15
 RUN = 16
 _BITS = 20
 _NORMAL = np.array([32 if c in (9, 10, 11, 12, 13) else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _tables(repeat: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random bits by step and byte, and the sampled steps in order."""
+@cache
+def _tables(repeat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random bits by step and byte, the sampled steps in order, and random numbers by step and byte whose XOR is a key."""
     rng = np.random.default_rng(1000 + repeat)
-    return rng.integers(0, 2, (STEPS, 256), dtype=np.int32), np.sort(rng.choice(STEPS, SAMPLED, replace=False))
+    moves, sampled = rng.integers(0, 2, (STEPS, 256), dtype=np.int64), np.sort(rng.choice(STEPS, SAMPLED, replace=False))
+    return moves, sampled, rng.integers(0, 1 << 63, (STEPS, 256), dtype=np.uint64) << np.uint64(1)
 
 
 def word_starts(data: np.ndarray, tops: np.ndarray | None = None) -> np.ndarray:
@@ -66,29 +68,28 @@ def word_starts(data: np.ndarray, tops: np.ndarray | None = None) -> np.ndarray:
 
 
 def _short_hash(h: np.ndarray) -> np.ndarray:
-    return ((h * _MIX) >> np.uint64(64 - _BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - _BITS)).view(np.int64)
 
 
 def walk(data: np.ndarray, at: np.ndarray, repeat: int, maps: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Keys of the windows that begin at `at` (data padded by STEPS bytes); with maps, only of those that pass them.
 
     Returns the indexes into `at` that are left and the keys after each of STAGES (of the ones left, for the last)."""
-    moves, sampled = _tables(repeat)
+    moves, sampled, marks = _tables(repeat)
     wanted = set(sampled.tolist())
     left, where, h, taken, keys = np.arange(len(at)), at.astype(np.int64), np.zeros(len(at), np.uint64), 0, []
     for j in range(int(sampled[-1]) + 1):
-        c = data[where]
+        c = data.take(where)
         if j in wanted:
-            h = (h + c + np.uint64(1)) * np.uint64(1099511628211)
-            h ^= h >> np.uint64(29)
+            h ^= marks[j].take(c)
             taken += 1
             if taken in STAGES:
-                keys.append(h)
+                keys.append(h.copy())
                 if maps is not None:
-                    keep = maps[len(keys) - 1][_short_hash(h)]
+                    keep = np.flatnonzero(maps[len(keys) - 1].take(_short_hash(h)))
                     left, where, h, c = left[keep], where[keep], h[keep], c[keep]
                     keys[-1] = h
-        where = where + moves[j][c]
+        where += moves[j].take(c)
     return left, keys
 
 
@@ -102,6 +103,41 @@ class Index:
     tables: list[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]
     short: list[int]
 
+    def near_head(self, body: np.ndarray, items: np.ndarray, begin: np.ndarray, offset: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which proposals have, about the agreeing place, HEAD bytes within HEAD_EDITS of the item's (bit-parallel, side by side)."""
+        if not len(items):
+            return np.zeros(0, bool)
+        size = np.array([len(r) for r in self.raw], np.int64)
+        head = np.maximum(0, np.minimum(offset, size[items] - HEAD))
+        places, which = np.unique(np.stack((items, head)), axis=1, return_inverse=True)
+        length = np.minimum(HEAD, size[places[0]])
+        masks = np.zeros((places.shape[1], 256), np.uint64)
+        for i, (k, at) in enumerate(places.T.tolist()):
+            for j, c in enumerate(self.raw[k][at : at + HEAD]):
+                masks[i, c] |= np.uint64(1 << j)
+        masks, which = masks.reshape(-1), which.reshape(-1)
+        out = np.zeros(len(items), bool)
+        for a in range(0, len(items), 1 << 13):
+            part = slice(a, a + (1 << 13))
+            mine, one = which[part] * 256, np.uint64(1)
+            top = (length[which[part]] - 1).astype(np.uint64)
+            start, stop = np.maximum(low[part], (begin + head)[part] - HEAD // 4), np.minimum(high[part], (begin + head)[part] + HEAD * 3 // 2)
+            where = start + np.arange(HEAD * 7 // 4 + 1)[:, None]
+            text = np.where(where < stop, body.take(where, mode="clip"), 255)  # no byte of UTF-8
+            up, down, score = np.full(len(mine), 2**64 - 1, np.uint64), np.zeros(len(mine), np.uint64), length[which[part]]
+            best = score.copy()
+            for c in text:
+                eq = masks.take(mine + c)
+                d0 = (((eq & up) + up) ^ up) | eq | down
+                hp, hn = down | ~(d0 | up), up & d0
+                score += ((hp >> top) & one).view(np.int64)
+                score -= ((hn >> top) & one).view(np.int64)
+                hp, hn = hp << one, hn << one
+                up, down = hn | ~(d0 | hp), hp & d0
+                np.minimum(best, score, out=best)
+            out[part] = best <= HEAD_EDITS
+        return out
+
 
 def normal(text: str) -> bytes:
     return _NORMAL[np.frombuffer(text.encode(), np.uint8)].tobytes().strip(b" ")
@@ -238,22 +274,21 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
     found = []
     if proposed:
         items, begin, offset = (np.concatenate([p[i] for p in proposed]) for i in range(3))
-        middle = np.clip(begin + np.array([len(r) // 2 for r in index.raw])[items], 0, max(0, len(data) - 1))
-        row = np.clip(np.searchsorted(offsets, middle, "right") - 1, 0, len(offsets) - 2)
-        done: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r, k, b, o in sorted(set(zip(row.tolist(), items.tolist(), begin.tolist(), offset.tolist()))):
-            size = len(index.raw[k])
-            slack = size // 4 + 8
-            low, high = max(int(offsets[r]), b - slack), min(int(offsets[r + 1]), b + size + slack)
-            seen = done.setdefault((r, k), [])
-            if any(x <= low + slack // 2 and high - slack // 2 <= y for x, y in seen):
+        row = np.clip(np.searchsorted(offsets, begin + offset, "right") - 1, 0, len(offsets) - 2)
+        row, items, begin, offset = np.unique(np.stack((row, items, begin, offset)), axis=1)
+        near = index.near_head(body, items, begin, offset, offsets[row], offsets[row + 1])
+        row, items, begin = row[near].tolist(), items[near].tolist(), begin[near].tolist()
+        last = 0
+        for first in range(len(row)):
+            if first < last:
                 continue
-            # Of a leak's stretches of HEAD bytes one at least has no more than its share of the edits; there is room for some more.
-            o = max(0, min(o, size - HEAD))
-            near = body[max(low, b + o - HEAD // 4) : min(high, b + o + HEAD * 3 // 2)].tobytes().decode("latin-1")
-            if _ends(index.raw[k][o : o + HEAD].decode("latin-1"), near)[0] > HEAD_EDITS:
-                continue
-            seen.append((low, high))
+            # Proposals of one item that lie close together are verified at once.
+            r, k, size = row[first], items[first], len(index.raw[items[first]])
+            slack = size // 4 + 8
+            last = first + 1
+            while last < len(row) and (row[last], items[last]) == (r, k) and begin[last] - begin[first] <= slack:
+                last += 1
+            low, high = max(int(offsets[r]), begin[first] - slack), min(int(offsets[r + 1]), begin[last - 1] + size + slack)
             text = body[low:high].tobytes().decode("utf-8", "ignore")
             want = index.texts[k]
             most = (1 - SIMILARITY) * len(want) + 1e-9
@@ -291,27 +326,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     similarity of SIMILARITY of a whole item (case and kind of white space aside).
 
     Null or empty texts on either side match nothing. Items that repeat are each reported; repeated
-    rows of docs repeat their rows, null ids stay null. Without items, or without texts, empty. The
-    items are taken in blocks of BLOCK_ITEMS, each a pass over docs, so what is sent out is bounded.
+    rows of docs repeat their rows, null ids stay null. Without items, or without texts, empty. Other
+    columns of either table are ignored. The items are taken in blocks of BLOCK_ITEMS and BLOCK_BYTES (a
+    longer item makes a block of its own), each a pass over docs whose result is written before the next
+    begins: the driver holds one block at a time.
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").orderBy("item_id", "text")
-    parts, block = [], []
+    out, block, held = None, [], 0
+
+    def joined(part: DataFrame) -> DataFrame:
+        return part if out is None else out.unionByName(part)
+
     for row in items.toLocalIterator():
-        if normal(row[1]):
-            block.append((row[0], row[1]))
-        if len(block) == BLOCK_ITEMS:
-            parts.append(_leaks_of(docs, build(block)))
-            block = []
-    if block or not parts:
-        parts.append(_leaks_of(docs, build(block)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        if not normal(row[1]):
+            continue
+        if block and (len(block) == BLOCK_ITEMS or held + len(row[1]) > BLOCK_BYTES):
+            out, block, held = joined(stash(_leaks_of(docs, build(block)), "leaks-block")), [], 0
+        block.append((row[0], row[1]))
+        held += len(row[1])
+    return joined(_leaks_of(docs, build(block))) if block or out is None else out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id and text have no leak, with all their columns."""
+    """The rows of docs whose doc_id and text have no leak, with all their columns, whatever their names.
+
+    Null and empty texts and null ids stay; of repeated rows all go or stay; an empty table stays empty."""
     marked = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
     bad = stash(find_leaks(marked, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("_leak"))
