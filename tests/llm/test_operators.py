@@ -388,12 +388,11 @@ def test_html_style_tree_prunes_by_entropy(spark):
 
 
 def test_lines(spark, odd, docs, texts, empty):
-    pattern = re.compile(r"(?=(\S.{0,7}))\S+")
     got = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
     kept = [x.strip().lower() for r in got.values() for x in r.text.split("\n") if x.strip()]
     assert len(kept) == len(set(kept))
     every = {x.strip().lower() for t in texts.values() for x in t.split("\n") if x.strip()}
-    sets = {x: frozenset(pattern.findall(x)) for x in every}
+    sets = {x: frozenset(x[i : i + 8] for i in range(max(1, len(x) - 7))) for x in every}
     index = defaultdict(list)
     for x, s in sets.items():
         for g in s:
@@ -402,7 +401,7 @@ def test_lines(spark, odd, docs, texts, empty):
     alone = every - {x for p in alike for x in p}
     assert alone <= set(kept)  # what nothing resembles stays
     both = [p for p in alike if p[0] in set(kept) and p[1] in set(kept)]
-    assert len(both) <= 0.1 * len(alike)
+    assert len(both) <= 0.05 * len(alike)
     out = linededup.dedup_lines(odd)
     assert [c for c in out.columns if c not in ("n_lines", "n_removed")] == [c for c in odd.columns if c not in ("n_lines", "n_removed")]
     rows = out.collect()
@@ -431,7 +430,11 @@ def test_leaks(spark, odd, docs, texts, empty, sf):
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == clean
     odd_bench = spark.createDataFrame([(1, None), (2, ""), (3, "lazy dog"), (4, "the quick brown fox jumps over the lazy dog and runs"), (4, "the quick brown fox jumps over the lazy dog and runs"), (None, "naïve école")], "item_id long, text string")
     found = Counter((r.doc_id, r.item_id) for r in decontaminate.find_leaks(odd, odd_bench).collect())
-    assert found == Counter({(1, 3): 2, (2, 3): 1, (1, 4): 4, (2, 4): 2, (7, None): 0}) or found == Counter({(1, 3): 2, (2, 3): 1, (1, 4): 4, (2, 4): 2})
+    assert found == Counter({(1, 3): 2, (2, 3): 1, (1, 4): 4, (2, 4): 2, (7, None): 1})  # "naïve école" in "naïve ÉCOLE": 1 edit of 11 characters
+    for d, t in {(r[0], r[1]) for r in ODD if r[1] and r[0] != 6}:
+        for i, b in ((3, "lazy dog"), (4, "the quick brown fox jumps over the lazy dog and runs"), (None, "naïve école")):
+            near = any(decontaminate.best_alignment(b, decontaminate.normal(x[1]).decode())[0] <= 0.2 * len(b) for x in ODD if x[0] == d and x[1])
+            assert near == ((d, i) in found)
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.drop_leaks(odd, odd_bench).columns == odd.columns
 
