@@ -155,6 +155,10 @@ class _Parser:
         return make
 
 
+#: Segments that are too few for array steps to pay.
+LANES = 100
+
+
 @dataclass
 class Automaton:
     """classes: byte to class; table: state x class, flat; tags: bit set of rules by state; resets: bytes that lead to the start from everywhere."""
@@ -166,7 +170,7 @@ class Automaton:
     width: int
 
     def scan(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tags seen in each of the segments data[starts:ends], all segments advancing together one byte a step."""
+        """Tags seen in each of the segments data[starts:ends]: all advance together one byte a step, the last LANES on their own."""
         order = np.argsort(starts - ends, kind="stable")
         at, length = starts[order], (ends - starts)[order]
         state, seen = np.zeros(len(at), self.table.dtype), np.zeros(len(at), self.tags.dtype)
@@ -174,9 +178,19 @@ class Automaton:
         live = len(at)
         steps = np.searchsorted(-length, -np.arange(int(length[0]) if live else 0), "left")
         for j, live in enumerate(steps.tolist()):
+            if live <= LANES:
+                break
             now = self.table[state[:live] + symbols[at[:live] + j]]
             state[:live] = now
             seen[:live] |= self.tags[now // self.width]
+        if 0 < live <= LANES:
+            table, tags = self.table.tolist(), np.repeat(self.tags, self.width).tolist()
+            for i in range(live):
+                s, met = int(state[i]), int(seen[i])
+                for c in symbols[at[i] + j : at[i] + length[i]].tolist():
+                    s = table[s + c]
+                    met |= tags[s]
+                seen[i] = met
         out = np.empty_like(seen)
         out[order] = seen
         return out

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .shared import stash
 
 BITS, REACH, LEAST_GROUP = 6, 3, 50
+#: Groups (counted first, about 100 bytes each) whose limits are broadcast; beyond that tasks a group's rows are dealt to.
+BROADCAST_GROUPS, SALTS = 50_000, 32
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Measure: least width of the upper fence, and of the lower one (None: no lower fence). Per mille; length in tenths.
 SPREAD = {"symbol": (100, None), "line": (300, None), "repeat": (150, None), "upper": (200, None), "length": (20, 20)}
@@ -124,13 +126,18 @@ def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     count as often as they occur; an empty table gives an empty result.
     """
     rows = stash(measured(docs, carry), "quality-measures")
-    limits = thresholds(stash(sketch(rows), "quality-sketch"))
+    limits = stash(thresholds(stash(sketch(rows), "quality-sketch")), "quality-limits")
     met = F.lit(True)
     for m, (_, low) in SPREAD.items():
         met = met & F.coalesce(F.col(m) <= F.col(f"hi_{m}"), F.lit(True))
         if low is not None:
             met = met & F.coalesce(F.col(m) >= F.col(f"lo_{m}"), F.lit(True))
-    return rows.join(limits, ["lang", "source"], "left").select("row", *BASE, "base_failed", (~F.col("base_failed") & met).alias("kept"))
+    if limits.count() <= BROADCAST_GROUPS:
+        both = rows.join(F.broadcast(limits), ["lang", "source"], "left")
+    else:  # a group's rows are dealt to SALTS tasks, each with a copy of its limits
+        salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["lang", "source", "salt"], "left")
+    return both.select("row", *BASE, "base_failed", (~F.col("base_failed") & met).alias("kept"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

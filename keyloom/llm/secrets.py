@@ -63,6 +63,8 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...] =
     starts, ends = cuts[:-1], cuts[1:]
     seen = machine.scan(data, starts, ends)
     found: dict[int, list[tuple[int, int, int]]] = {}
+    inner = np.flatnonzero(data & 0xC0 == 0x80)  # bytes that begin no code point
+    chars = lambda top, end: end - top - int(np.searchsorted(inner, end) - np.searchsorted(inner, top))
     for i in np.flatnonzero(seen).tolist():
         a, b = int(starts[i]), int(ends[i])
         row = int(np.searchsorted(offsets, a, "right")) - 1
@@ -72,8 +74,7 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...] =
                 for m in exact[k].finditer(segment):
                     if rule.valid(m):
                         top = int(offsets[row])
-                        chars = lambda end: int(np.count_nonzero(data[top:end] & 0xC0 != 0x80))  # noqa: B023, E731
-                        found.setdefault(row, []).append((chars(a + m.start()), k, chars(a + m.end())))
+                        found.setdefault(row, []).append((chars(top, a + m.start()), k, chars(top, a + m.end())))
     return {row: sorted(spans) for row, spans in found.items()}
 
 

@@ -1,7 +1,8 @@
 """Intermediate tables in the shared folder, and blocks of text for array code.
 
 Lineage is cut by writing Parquet to the folder that spark.checkpoint.dir names, which driver and
-executors share. Only where that setting is absent (tests, a laptop) is a local folder used.
+executors share. Only where that setting is absent and the master is local (tests, a laptop) is a local
+folder used; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -9,29 +10,32 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, int]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, the context's own, or a fresh local one."""
+    """The cluster's shared folder: spark.checkpoint.dir, the context's own, or with a local master a fresh one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir().rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/keyloom-{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written.append((spark, path, threading.get_ident()))
     return path
 
 
@@ -44,15 +48,22 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 
 def written() -> list[str]:
-    """Paths of the tables that are still there, oldest first."""
-    return [path for _, path in _written]
+    """Paths of the tables of this thread that are still there, oldest first."""
+    return [path for _, path, thread in _written if thread == threading.get_ident()]
+
+
+def settle(df: DataFrame, label: str, since: list[str]) -> DataFrame:
+    """stash, after which the tables that this thread has written besides `since` are deleted: df was made from them."""
+    out = stash(df, label)
+    release([path for path in written()[:-1] if path not in since])
+    return out
 
 
 def release(paths: list[str] | None = None) -> None:
     """Deletes tables by path, or all; frames that read them must be materialised by then."""
     for entry in [x for x in _written if paths is None or x[1] in paths]:
         with contextlib.suppress(Exception):  # at exit the context may be gone
-            spark, path = entry
+            spark, path, _ = entry
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         _written.remove(entry)

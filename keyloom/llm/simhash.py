@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stash, text_bytes
+from .shared import settle, stash, text_bytes, written
 
 WIDTH, RADIUS, SHINGLE = 64, 4, 4
 #: Members of a bucket that one task compares with as many others.
@@ -138,7 +138,7 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     marked = stash(fingerprints(docs), "simhash-fp")
     by_fp = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = stash(link_fingerprints(by_fp.select("fp"), radius), "simhash-roots")
+    roots = settle(link_fingerprints(by_fp.select("fp"), radius), "simhash-roots", written())
     rooted = by_fp.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")

@@ -15,12 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows that the lexicon and the weights are learned from, at most.
-TRAIN_ROWS = 8_000
+from .shared import stash
+
+#: Labelled rows, and bytes of their texts, that the lexicon and the weights are learned from, at most.
+TRAIN_ROWS, TRAIN_BYTES = 8_000, 96 << 20
 FOLDS, HELD_OUT = 5, 0
 LEXICON, LEAST_DOCS, LEAST_LIFT = 400, 4, 8.0
 PREFIX = range(5, 9)
@@ -29,12 +30,12 @@ N_FEATURES = 5
 CONTEXT, QUOTED, MISSPELLED, REPEATED = 8, 0.25, 0.8, 0.25
 #: Who a remark is addressed to.
 ADDRESS = frozenset("you your yours you're du dich dein deine tu toi vous ton ta usted tú te".split())
-_QUOTES = [ord(c) for c in "\"“”„«»"]
 _WORD = np.ones(0x110000, bool)
 _WORD[:0x3000] = [chr(i).isalnum() for i in range(0x3000)]
 _WORD[0x3000:0x3040] = False
-_IS_QUOTE = np.zeros(0x110000, bool)
-_IS_QUOTE[_QUOTES] = True
+#: Marks of quotation by family.
+_QUOTES = [[ord(c) for c in "\"“”„"], [ord(c) for c in "«»"], [ord(c) for c in "'‘’‚"]]
+_OPENS, _CLOSES = [ord(c) for c in "„‚‘"], [ord("”")]
 
 
 @dataclass
@@ -161,6 +162,39 @@ def build(entries: list[tuple[str, bool, float, int]]) -> Lexicon:
     return Lexicon(classes, np.array(rows, np.int32), weight, errors, tail, 1)
 
 
+def in_quotes(b: Block, at: np.ndarray) -> np.ndarray:
+    """Which places stand between an opening and a closing mark of one line.
+
+    A mark opens after white space or an opening bracket and closes before it or punctuation, where its form
+    doesn't say; an apostrophe or an inch mark does neither. Of a family's marks two neighbours make a pair."""
+    points, n = b.points, len(b.points)
+    inside = np.zeros(len(at), bool)
+    breaks = np.unique(np.concatenate((np.flatnonzero(points == 10), b.tops)))
+    for family in _QUOTES:
+        marks = np.flatnonzero(np.isin(points, family))
+        if not len(marks):
+            continue
+        before = np.where(marks > 0, points[np.maximum(marks - 1, 0)], 32)
+        after = np.where(marks + 1 < n, points[np.minimum(marks + 1, n - 1)], 32)
+        top, end = np.isin(marks, b.tops), np.isin(marks + 1, b.tops)
+        free_before, free_after = top | (before <= 32) | np.isin(before, (40, 91, 123)), end | (after <= 32) | ~_WORD[after]
+        kind = np.where(free_before & ~(end | (after <= 32)), 1, np.where(~free_before & free_after, -1, 0))
+        own = points[marks]
+        kind = np.where(np.isin(own, _OPENS) & ~(~free_before & free_after), 1, np.where(np.isin(own, _CLOSES), -1, kind))
+        if family is _QUOTES[1]:  # « mot », and »Wort«
+            kind = np.where(kind == 0, np.where(own == 171, 1, -1), kind)
+        else:
+            kind[(own == 34) & (kind == -1) & (before >= 48) & (before <= 57) & (np.concatenate(([0], kind[:-1])) != 1)] = 0
+        marks, kind = marks[kind != 0], kind[kind != 0]
+        line = np.searchsorted(breaks, marks, "right")
+        pair = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == -1) & (line[:-1] == line[1:]))
+        if len(pair):
+            first, stop = marks[pair], marks[pair + 1]
+            k = np.searchsorted(first, at, "right") - 1
+            inside |= (k >= 0) & (stop[np.maximum(k, 0)] > at)
+    return inside
+
+
 def features(lexicon: Lexicon, texts: list[str]) -> np.ndarray:
     """Per text: weight of the hits in context, the same by length, densest context window, quoted hits, heaviest hit."""
     b = cut(texts)
@@ -171,11 +205,8 @@ def features(lexicon: Lexicon, texts: list[str]) -> np.ndarray:
     factor[np.unique(row * len(lexicon.weight) + state, return_index=True)[1]] = 1.0
     quoted = np.zeros(len(word), bool)
     if len(word):
-        quotes = np.concatenate(([0], np.cumsum(_IS_QUOTE[b.points])))
         last = len(b.starts) - 1
-        low = np.maximum(b.starts[np.maximum(word - CONTEXT, 0)], b.tops[row])
-        high = np.minimum(b.ends[np.minimum(word + CONTEXT, last)], b.tops[row + 1])
-        inside = ((quotes[b.starts[word]] - quotes[b.tops[row]]) % 2 == 1) & (quotes[b.starts[word]] > quotes[low]) & (quotes[high] > quotes[b.ends[word]])
+        inside = in_quotes(b, b.starts[word])
         for i in np.flatnonzero(inside).tolist():
             around = range(max(0, int(word[i]) - CONTEXT), min(last, int(word[i]) + CONTEXT) + 1)
             said = {b.points[b.starts[k] : b.ends[k]].tobytes().decode("utf-32-le") for k in around if b.row[k] == row[i]}
@@ -209,8 +240,7 @@ def _forms(texts: list[str]) -> list[set[tuple[str, bool]]]:
     whole = b.points.tobytes().decode("utf-32-le", "surrogatepass")
     out: list[set[tuple[str, bool]]] = [set() for _ in texts]
     for r, x, y in zip(b.row.tolist(), b.starts.tolist(), b.ends.tolist()):
-        if y - x <= 24:
-            out[r].add((whole[x:y], False))
+        out[r].add((whole[x:y], False))
         for k in PREFIX:
             if y - x > k:
                 out[r].add((whole[x : x + k], True))
@@ -272,13 +302,16 @@ def _bucket():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learns from at most `rows` labelled rows outside the held-out fold, the first by a hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Model:
+    """Learns from at most `rows` labelled rows of `most` bytes outside the held-out fold, the first by a hash of doc_id."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     marked = marked.where(_bucket() != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()
+    got = stash(texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "toxicity-sample")
+    # `rows` numbers in one task, without the texts.
+    upto = got.select("doc_id", F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("upto")).where(F.col("upto") <= most)
+    got = got.join(F.broadcast(upto.select("doc_id")), "doc_id", "left_semi").orderBy("doc_id").toArrow()
     return learn(got.column("text").to_pylist(), got.column("toxic").to_pylist())
 
 
@@ -291,7 +324,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.utf8_lower(batch.column(2).fill_null("")).to_pylist()
+            texts = [t.lower() if t else "" for t in batch.column(2).to_pylist()]
             parts, size, block = [], 0, []
             for t in texts:
                 block.append(t)
