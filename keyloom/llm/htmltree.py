@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stash
+
 #: Importance below which a branch is noise; values that a node must have shown; share of the presentation in an inner node's importance.
 THRESHOLD, LEAST_SEEN, PRESENTATION = 0.65, 8, 0.1
+#: Elements nested deeper belong to the style node of their ancestor at this depth; their text stays their own.
+DEPTH = 128
+#: Node ids, over all hosts, that are broadcast; beyond that tasks a host's pages are dealt to.
+BROADCAST_NODES, SALTS = 1_000_000, 32
 #: Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -32,23 +39,59 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dial
 NOISE_CLASSES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus replies pagination pager widget".split()
 )
-_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
+#: Of names in parts, such as cookie-banner: those that say it in any of the first or last part, and first parts that only qualify.
+NOISE_PARTS = frozenset("ad ads advert adverts breadcrumb breadcrumbs comment comments cookie cookies footer menu nav navbar newsletter sidebar".split())
+QUALIFIERS = frozenset("has no not with without is in".split())
+#: Elements that are never noise by their name.
+FRAMES = frozenset("html body main article".split())
+# A quote counts right after = only.
+_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _END_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
-def _key(text: str) -> int:
-    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _key(text: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+
+
+def named_noise(name: str) -> bool:
+    """Whether a class or id says that its element is no article text: a word of NOISE_CLASSES, or a name that begins or ends with one."""
+    parts = re.split(r"[_\-]+", name)
+    return name in NOISE_CLASSES or (len(parts) > 1 and parts[0] not in QUALIFIERS and (parts[0] in NOISE_PARTS or parts[-1] in NOISE_CLASSES))
+
+
 class _Node:
-    __slots__ = ("article", "children", "noise", "path", "tag", "up")
+    """key: of the path from the root, made from the parent's key and the name; style: itself, or its ancestor at DEPTH;
+    gone: whether it or an element around it was removed, if known."""
+
+    __slots__ = ("article", "children", "depth", "gone", "hash", "noise", "style", "tag", "up")
 
     def __init__(self, tag: str, name: str, up: _Node | None, noise: bool, article: bool) -> None:
         self.tag, self.up, self.noise, self.article = tag, up, noise, article
-        self.path = f"{up.path}/{name}" if up else name
+        self.depth = up.depth + 1 if up else 0
+        self.style = up.style if up and self.depth > DEPTH else self
+        self.hash = 0 if not up else up.hash if self.depth > DEPTH else xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), seed=up.hash)
         self.children: list[str] = []
+        self.gone: bool | None = None
+
+    @property
+    def key(self) -> int:
+        return _signed(self.hash)
+
+    def removed(self, noise: set[int]) -> bool:
+        """Whether this or an element around it is among the noise."""
+        way, node = [], self
+        while node.up and node.gone is None:
+            way.append(node)
+            node = node.up
+        gone = bool(node.gone)
+        for node in reversed(way):
+            gone = node.gone = gone or node.key in noise
+        return gone
 
 
 class Page:
@@ -59,6 +102,7 @@ class Page:
         self.nodes: list[_Node] = []
         self.here = _Node("", "", None, False, False)
         self.open: list[tuple[str, _Node]] = [("", self.here)]
+        self.count: Counter = Counter()
         self.parts: list[str] = []
         at = 0
         while m := _TAG.search(source, at):
@@ -94,6 +138,7 @@ class Page:
         if tag in INLINE:
             if tag not in VOID:
                 self.open.append((tag, self.here))
+                self.count[tag] += 1
             return
         if tag == "br":
             self.parts.append("\n")
@@ -105,35 +150,37 @@ class Page:
             self.close(tag, until=("ul", "ol", "dl", "table", "select", "article"))
         if tag in VOID:
             return
-        names, role = [], ""
+        names, own, role = [], [], ""
         for m in _ATTR.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            if m[1].lower() == "role":
+            kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if kind == "role":
                 role = value
             else:
                 names += value.split()
-        words = {w for n in names for w in re.split(r"[_\-]+", n)}
+                own += value.split() if kind == "class" else [re.sub(r"\d+", "0", value)]  # ids count pages and posts
         up = self.here
-        noise = up.noise or tag in SKIP or role in NOISE_ROLES or bool(words & NOISE_CLASSES) or (tag == "header" and not up.article)
-        label = tag + "".join(f".{n}" for n in sorted(names)[:3])
+        noise = up.noise or tag in SKIP or role in NOISE_ROLES or (tag not in FRAMES and any(map(named_noise, names))) or (tag == "header" and not up.article)
+        label = tag + "".join(f".{n}" for n in sorted(own))
         up.children.append(label)
         self.here = _Node(tag, label, up, noise, up.article or ((tag in ("article", "main") or role == "main") and not noise))
         self.nodes.append(self.here)
         self.open.append((tag, self.here))
+        self.count[tag] += 1
 
     def close(self, tag: str, until: tuple[str, ...] = ()) -> None:
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
+            name, node = self.open[i]
+            if name == tag:
                 if tag not in INLINE:
                     self.flush()
-                    self.here = self.open[i][1].up
-                    del self.open[i:]
-                else:
-                    if any(t not in INLINE for t, _ in self.open[i:]):
-                        return  # an inline end tag closes no block
-                    del self.open[i:]
+                    self.here = node.up
+                for t, _ in self.open[i:]:
+                    self.count[t] -= 1
+                del self.open[i:]
                 return
-            if self.open[i][0] in until:
+            if name in until or (tag in INLINE and name not in INLINE):  # an inline end tag closes no block
                 return
 
 
@@ -152,19 +199,18 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: list[list] = [[], [], [], []]
             for url, source in zip(urls, sources):
                 page, values = Page(source or ""), []
-                keys = {n.path: _key(n.path) for n in page.nodes}
                 some = any(n.article and not n.noise for n, _ in page.blocks)
                 for node, text in page.blocks:
                     if not node.noise:
-                        above, up = [], node
+                        above, up = [], node.style
                         while up.up:
-                            above.append(keys[up.path])
+                            above.append(up.key)
                             up = up.up
-                        values.append({"node": keys.get(node.path, 0), "above": above, "value": _key(text), "loose": some and not node.article})
+                        values.append({"node": node.key, "above": above, "value": _key(text), "loose": some and not node.article})
                 rows[0].append(host_of(url))
                 rows[1].append(_key(source or ""))
                 rows[2].append(values)
-                rows[3].append([{"node": keys[n.path], "value": _key(" ".join(n.children))} for n in page.nodes if not n.noise])
+                rows[3].append([{"node": n.key, "value": _key(" ".join(n.children))} for n in page.nodes if not n.noise and n.depth <= DEPTH])
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], content), pa.array(rows[3], shown)], ["host", "page", "content", "shown"])
 
 
@@ -197,17 +243,8 @@ def main_text(source: str | None, noise: set[int], important: set[int] = frozens
     page = Page(source or "")
     blocks = [(n, t) for n, t in page.blocks if not n.noise]
     if any(n.article for n, _ in blocks):
-        blocks = [(n, t) for n, t in blocks if n.article or _key(n.path) in important]
-    out, known = [], {}
-    for node, text in blocks:
-        up, keep = node, True
-        while keep and up and up.up:
-            if up.path not in known:
-                known[up.path] = _key(up.path) in noise
-            keep, up = not known[up.path], up.up
-        if keep:
-            out.append(text)
-    return " ".join(out)
+        blocks = [(n, t) for n, t in blocks if n.article or n.key in important]
+    return " ".join(t for n, t in blocks if not n.removed(noise))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,10 +261,16 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Null html is empty: empty text. A null or odd url belongs to the host "". Repeated rows keep their
     rows and count once in the tree; other columns are ignored; an empty table gives an empty result.
     """
-    noise = noise_nodes(pages)
+    noise = stash(noise_nodes(pages), "html-noise")
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    return rows.join(noise, "host", "left").select("page_id", "url", "html", "noise", "important").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    nodes = noise.agg(F.sum(F.size("noise") + F.size("important") + 1)).first()[0] or 0
+    if nodes <= BROADCAST_NODES:
+        both = rows.join(F.broadcast(noise), "host", "left")
+    else:  # a host's pages are dealt to SALTS tasks, each with a copy of its nodes
+        salted = noise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["host", "salt"], "left")
+    return both.select("page_id", "url", "html", "noise", "important").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html(spark, sf_dir: str) -> DataFrame:
