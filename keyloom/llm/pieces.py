@@ -1,12 +1,18 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model compiles to a transducer from characters to pieces: the normaliser (space to U+2581, with a
-leading one), an arc for each piece, and arcs to byte pieces for characters without a piece. The
-model is of the BPE kind, whose result is not the path of best scores: merges are made in the order of
-their ranks. A path is that result exactly where each two neighbouring pieces are the result for their
-joined text, so arcs between pieces weigh 0 if they are and infinity if not. Composed with an input,
-the tropical shortest path is then the only one of finite weight, and it is found position by
-position, as each prefix has one last piece. Whether two pieces fit is read off their derivations.
+The model compiles to a transducer from characters to pieces. Its states are those of a trie over the
+pieces, with the normaliser composed in (an arc reads a space where a piece has U+2581); a state that
+completes a piece has an arc back to the start that puts the piece out, and characters without a piece
+have one that puts out byte pieces. Composed with an input this is a lattice whose arcs are the pieces
+that stand at its positions, and the encoding is the shortest path in the tropical semiring (weights
+add along a path, the least counts).
+
+An arc's weight depends on the arc before, so lattice states are a position and the last arc. A model
+of the unigram kind has a weight for each piece. One of the BPE kind merges in the order of ranks, and
+its result is not the path of best scores; a path is that result exactly where each two neighbouring
+pieces are the result for their joined text. Arcs weigh 0 after a piece that they fit to and infinity
+after others, which leaves one path of finite weight. Whether two pieces fit is read off their
+derivations.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -23,31 +29,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The model file where the setting spark.keyloom.pieces.model names none.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Pieces of text that a worker remembers, and the longest that it does; both bound its memory only.
 REMEMBERED, LONGEST = 200_000, 40
-#: The same for beginnings of HEAD characters, and for pairs of pieces.
-HEAD, HEADS, FITS = 8, 80_000, 500_000
-_NEVER = 1 << 60
+#: The same for pairs of pieces.
+FITS = 500_000
+#: Weight of a character in byte pieces.
+FALLBACK = 1e3
+_NEVER, _INFINITE = 1 << 60, float("inf")
+
+
+def shortest_path(lattice: list[list[tuple[int, int]]], weigh: Callable[[int | None, int], float]) -> tuple[float, list[int]]:
+    """Weight and labels of the lightest path through a lattice (of equals the first found; none: infinity).
+
+    lattice: by position from 1 on, the arcs (position where it begins, label) that end there; weigh: the
+    weight of an arc, by the label before (None at the start) and its own."""
+    best: list[dict[int | None, tuple[float, int, int | None]]] = [{None: (0.0, 0, None)}]
+    for arcs in lattice:
+        states: dict[int | None, tuple[float, int, int | None]] = {}
+        for begin, label in arcs:
+            for before, (cost, _, _) in best[begin].items():
+                total = cost + weigh(before, label)
+                if total < _INFINITE and (label not in states or total < states[label][0]):
+                    states[label] = (total, begin, before)
+        best.append(states)
+    at, path = len(lattice), []
+    if not best[at]:
+        return _INFINITE, []
+    label = min(best[at], key=lambda k: best[at][k][0])
+    weight = best[at][label][0]
+    while at:
+        path.append(label)
+        _, at, label = best[at][label]
+    return weight, path[::-1]
 
 
 @dataclass
 class Transducer:
-    """pieces: text to (id, rank), the lowest rank merged first; fallback: ids of the 256 byte pieces; texts: bytes by id; digest: of the model file."""
+    """pieces: text to (id, rank), the lowest rank merged first; fallback: ids of the 256 byte pieces; texts: bytes by id;
+    digest: of the model file; weights: by id, for a model of the unigram kind."""
 
     pieces: dict[str, tuple[int, int]]
     fallback: list[int]
     texts: list[bytes]
     digest: str = ""
-    _fits: dict[int, bool] = field(default_factory=dict)
+    weights: dict[int, float] | None = None
+    _fits: dict[int, float] = field(default_factory=dict)
     _spines: dict[str, tuple[list, list]] = field(default_factory=dict)
     _known: dict[str, bytes] = field(default_factory=dict)
     _older: dict[str, bytes] = field(default_factory=dict)
-    _heads: dict[str, tuple[list[int], list[int]]] = field(default_factory=dict)
 
     def __getstate__(self) -> tuple:
-        return self.pieces, self.fallback, self.texts, self.digest
+        return self.pieces, self.fallback, self.texts, self.digest, self.weights
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
@@ -55,10 +90,10 @@ class Transducer:
     @cached_property
     def units(self) -> re.Pattern:
         """Cuts where no piece reaches across: before a word's spaces, and around line ends without a piece."""
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces):
+        if self.weights is not None or any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces):
             return re.compile(r"(?s).+")
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.pieces))
-        return re.compile((f"[{alone}]|" if alone else "") + f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
+        return re.compile((f"[{alone}]|" if alone else "") + f"[ {SPACE}]*[^ {SPACE}{alone}]+|[ {SPACE}]+")
 
     def spines(self, piece: str) -> tuple[list, list]:
         """The derivation of a piece: (part, time made) along its right edge and along its left edge, from the last or first character up."""
@@ -100,71 +135,77 @@ class Transducer:
                 j += 1
 
     @cached_property
-    def backward(self) -> dict:
-        """Trie of the reversed pieces; a node's id is under the empty string."""
-        root: dict = {}
+    def states(self) -> list[tuple[dict[str, int], int]]:
+        """By state: its arcs (character to state), and the piece that it completes or -1. State 0 is the start."""
+        states: list[tuple[dict[str, int], int]] = [({}, -1)]
         for piece, (number, _) in self.pieces.items():
-            node = root
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = number
-        return root
+            at = 0
+            for c in piece:
+                if c not in states[at][0]:
+                    states[at][0][c] = len(states)
+                    states.append(({}, -1))
+                at = states[at][0][c]
+            states[at] = (states[at][0], number)
+        for arcs, _ in states:  # the normaliser: a space reads as U+2581
+            if SPACE in arcs:
+                arcs[" "] = arcs[SPACE]
+        return states
 
     @cached_property
     def names(self) -> dict[int, str]:
         return {number: piece for piece, (number, _) in self.pieces.items()}
 
-    def shortest(self, unit: str) -> bytes:
-        """Ids (4 bytes each, little-endian) of the path of finite weight through the lattice of unit."""
-        root, weigh, name = self.backward, self._fits, self.names
-        # Of the path to each position: its last piece (-1: none, or a character in byte pieces) and where that begins.
-        # It depends on what stands before alone, so units that begin alike share it.
-        head = unit[:HEAD]
-        known = self._heads.get(head)
-        last, begin = (known[0][:], known[1][:]) if known else ([-1], [0])
-        for i in range(len(last) - 1, len(unit)):
-            if i == HEAD and not known:
-                if len(self._heads) >= HEADS:
-                    self._heads.clear()
-                self._heads[head] = last[:], begin[:]
-            node, k, arcs = root, i, []
-            while k >= 0:
-                node = node.get(unit[k])
-                if node is None:
+    def compose(self, unit: str) -> list[list[tuple[int, int]]]:
+        """The lattice of unit: arcs (begin, label) by the position where they end. A label is a piece's id, or for a
+        character in byte pieces - 1 - its code point."""
+        states = self.states
+        lattice: list[list[tuple[int, int]]] = [[] for _ in unit]
+        for begin in range(len(unit)):
+            arcs, at = states[0][0], begin
+            while at < len(unit):
+                state = arcs.get(unit[at])
+                if state is None:
                     break
-                if "" in node:
-                    arcs.append((node[""], k))
-                k -= 1
-            for piece, k in reversed(arcs):
-                before = last[k]
-                if before >= 0:
-                    fit = weigh.get(before << 32 | piece)
-                    if fit is None:
-                        if len(weigh) >= FITS:
-                            weigh.clear()
-                        fit = weigh[before << 32 | piece] = self.fits(name[before], name[piece])
-                    if not fit:
-                        continue
-                last.append(piece)
-                begin.append(k)
-                break
-            else:
-                last.append(-1)
-                begin.append(i)
-        ids, i = [], len(unit)
-        while i:
-            if last[i] < 0:
-                ids += [self.fallback[b] for b in reversed(unit[i - 1].encode())]
+                arcs, piece = states[state]
+                if piece >= 0:
+                    lattice[at].append((begin, piece))
+                elif at == begin:
+                    lattice[at].append((begin, -1 - ord(unit[at])))
+                at += 1
+            if at == begin:
+                lattice[at].append((begin, -1 - ord(unit[at])))
+        return lattice
+
+    def weigh(self, before: int | None, label: int) -> float:
+        """Weight of an arc after the arc before."""
+        if label < 0:
+            return FALLBACK
+        if self.weights is not None:
+            return self.weights[label]
+        if before is None or before < 0:
+            return 0.0
+        weight = self._fits.get(before << 32 | label)
+        if weight is None:
+            if len(self._fits) >= FITS:
+                self._fits.clear()
+            weight = self._fits[before << 32 | label] = 0.0 if self.fits(self.names[before], self.names[label]) else _INFINITE
+        return weight
+
+    def shortest(self, unit: str) -> bytes:
+        """Ids (4 bytes each, little-endian) of the shortest path through the lattice of unit."""
+        ids = array("i")
+        for label in shortest_path(self.compose(unit), self.weigh)[1]:
+            if label < 0:
+                ids.extend(self.fallback[b] for b in chr(-1 - label).encode())
             else:
-                ids.append(last[i])
-            i = begin[i]
-        return array("i", ids[::-1]).tobytes()
+                ids.append(label)
+        return ids.tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, "<i4")
         out, known, older = [], self._known, self._older
-        for unit in self.units.findall(SPACE + text.replace(" ", SPACE)):
+        for unit in self.units.findall(" " + text):  # the normaliser puts a space before
             ids = known.get(unit)
             if ids is None:
                 ids = older.get(unit)
@@ -211,14 +252,14 @@ def load(path: str = MODEL) -> Transducer:
     return Transducer({name[i]: (i, ranks[score[i]]) for i in normal}, [fallback.get(b, model.unk_id()) for b in range(256)], texts, hashlib.sha256(model.serialized_model_proto()).hexdigest())
 
 
-def encode_decode(docs: DataFrame, path: str = MODEL, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, n_bytes (byte pieces), ids_sha256 (of the ids as 4 bytes each, little-endian) and
     round_trip (decoding gives the text back, U+2581 read as a space), with ids on demand.
 
     Null and empty texts have no tokens, and round_trip is true. Repeated rows and null ids keep their
     rows; other columns are ignored; an empty table gives an empty result.
     """
-    compiled = load(path)
+    compiled = load(path or docs.sparkSession.conf.get("spark.keyloom.pieces.model", MODEL))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from keyloom.llm.pieces import resident as kept  # by import: the function itself is sent by value
