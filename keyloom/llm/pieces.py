@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Pieces of text that a worker remembers, and the longest that it does; both bound its memory only.
-REMEMBERED, LONGEST = 200_000, 40
-#: The same for pairs of pieces.
-FITS = 500_000
+REMEMBERED, LONGEST = 400_000, 40
+#: The same for beginnings of HEAD characters, and for pairs of pieces.
+HEAD, HEADS, FITS = 8, 150_000, 500_000
 #: Weight of a character in byte pieces.
 FALLBACK = 1e3
 _NEVER, _INFINITE = 1 << 60, float("inf")
@@ -80,6 +80,7 @@ class Transducer:
     _spines: dict[str, tuple[list, list]] = field(default_factory=dict)
     _known: dict[str, bytes] = field(default_factory=dict)
     _older: dict[str, bytes] = field(default_factory=dict)
+    _heads: dict[str, tuple[list[int], list[int]]] = field(default_factory=dict)
 
     def __getstate__(self) -> tuple:
         return self.pieces, self.fallback, self.texts, self.digest, self.weights
@@ -136,11 +137,12 @@ class Transducer:
 
     @cached_property
     def states(self) -> list[tuple[dict[str, int], int]]:
-        """By state: its arcs (character to state), and the piece that it completes or -1. State 0 is the start."""
+        """By state: its arcs (character to state), and the piece that it completes or -1. State 0 is the start. Pieces
+        are read from their last character to the first: a lattice is made position by position, as the text goes on."""
         states: list[tuple[dict[str, int], int]] = [({}, -1)]
         for piece, (number, _) in self.pieces.items():
             at = 0
-            for c in piece:
+            for c in reversed(piece):
                 if c not in states[at][0]:
                     states[at][0][c] = len(states)
                     states.append(({}, -1))
@@ -155,26 +157,26 @@ class Transducer:
     def names(self) -> dict[int, str]:
         return {number: piece for piece, (number, _) in self.pieces.items()}
 
+    def arcs(self, unit: str, end: int) -> list[tuple[int, int]]:
+        """The lattice's arcs (begin, label) that end at a position of unit, the shortest first. A label is a piece's id,
+        or for a character in byte pieces - 1 - its code point."""
+        states, begin, found = self.states, end - 1, []
+        here = states[0][0].get(unit[begin])
+        if here is None or states[here][1] < 0:
+            found.append((begin, -1 - ord(unit[begin])))
+        while here is not None:
+            arcs, piece = states[here]
+            if piece >= 0:
+                found.append((begin, piece))
+            if not begin:
+                break
+            begin -= 1
+            here = arcs.get(unit[begin])
+        return found
+
     def compose(self, unit: str) -> list[list[tuple[int, int]]]:
-        """The lattice of unit: arcs (begin, label) by the position where they end. A label is a piece's id, or for a
-        character in byte pieces - 1 - its code point."""
-        states = self.states
-        lattice: list[list[tuple[int, int]]] = [[] for _ in unit]
-        for begin in range(len(unit)):
-            arcs, at = states[0][0], begin
-            while at < len(unit):
-                state = arcs.get(unit[at])
-                if state is None:
-                    break
-                arcs, piece = states[state]
-                if piece >= 0:
-                    lattice[at].append((begin, piece))
-                elif at == begin:
-                    lattice[at].append((begin, -1 - ord(unit[at])))
-                at += 1
-            if at == begin:
-                lattice[at].append((begin, -1 - ord(unit[at])))
-        return lattice
+        """The lattice of unit: the arcs by the position where they end, from 1 on."""
+        return [self.arcs(unit, end) for end in range(1, len(unit) + 1)]
 
     def weigh(self, before: int | None, label: int) -> float:
         """Weight of an arc after the arc before."""
@@ -191,15 +193,43 @@ class Transducer:
             weight = self._fits[before << 32 | label] = 0.0 if self.fits(self.names[before], self.names[label]) else _INFINITE
         return weight
 
+    def only_path(self, unit: str) -> list[int]:
+        """What shortest_path gives where weights are 0 and infinity and each beginning of unit has one path of finite weight:
+        its last arc is the first that fits. Units that begin alike share the paths of their first HEAD characters."""
+        head = unit[:HEAD]
+        known = self._heads.get(head)
+        last, begin = (known[0][:], known[1][:]) if known else ([-1], [0])
+        weights, arcs_of = self._fits, self.arcs
+        for end in range(len(last), len(unit) + 1):
+            if end == HEAD + 1 and not known:
+                if len(self._heads) >= HEADS:
+                    self._heads.clear()
+                self._heads[head] = last[:], begin[:]
+            arcs = arcs_of(unit, end)
+            while True:
+                at, label = arcs.pop()
+                before = last[at]
+                if label < 0 or before < 0:
+                    break
+                weight = weights.get(before << 32 | label)
+                if weight is None:
+                    weight = self.weigh(before, label)
+                if not weight:
+                    break
+            last.append(label)
+            begin.append(at)
+        path, at = [], len(unit)
+        while at:
+            path.append(last[at])
+            at = begin[at]
+        return path[::-1]
+
     def shortest(self, unit: str) -> bytes:
         """Ids (4 bytes each, little-endian) of the shortest path through the lattice of unit."""
-        ids = array("i")
-        for label in shortest_path(self.compose(unit), self.weigh)[1]:
-            if label < 0:
-                ids.extend(self.fallback[b] for b in chr(-1 - label).encode())
-            else:
-                ids.append(label)
-        return ids.tobytes()
+        path = self.only_path(unit) if self.weights is None else shortest_path(self.compose(unit), self.weigh)[1]
+        if min(path) < 0:
+            path = [i for label in path for i in ([label] if label >= 0 else [self.fallback[b] for b in chr(-1 - label).encode()])]
+        return array("i", path).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:

@@ -54,6 +54,15 @@ def test_one_path_of_finite_weight_and_it_is_what_merging_gives():
         lattice = machine.compose(word)
         finite = [p for p in paths(lattice, len(word)) if sum(machine.weigh(a, b) for a, b in zip([None, *p], p)) < float("inf")]
         assert [[machine.names[i] for i in p] for p in finite] == [merged(machine, word)]
+        assert pieces.shortest_path(lattice, machine.weigh) == (0.0, finite[0]) and machine.only_path(word) == finite[0]
+
+
+def test_only_path_is_the_shortest():
+    rng, machine = random.Random(4), pieces.load()
+    for _ in range(2000):
+        unit = "".join(rng.choices(" thenaigzé日\n😀", k=rng.randint(1, 14)))
+        weight, path = pieces.shortest_path(machine.compose(unit), machine.weigh)
+        assert machine.only_path(unit) == path and weight < float("inf")
 
 
 def test_weights_of_pieces():
