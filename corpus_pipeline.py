@@ -15,21 +15,9 @@ from pyspark.sql import functions as F
 from keyloom.llm import decontaminate, linededup, pieces, quality, shared, simhash
 from keyloom.session import ship
 
-#: Tables in the shared folder that the stage called last has written.
-_tables: list[str] = []
-
 
 def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """Deletes the former stage's tables when a stage begins: its result is written by then."""
-
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        shared.release(_tables)
-        before = set(shared.written())
-        out = work(ship(spark), docs, sf_dir)
-        _tables[:] = [path for path in shared.written() if path not in before]
-        return out
-
-    return stage
+    return lambda spark, docs, sf_dir: work(ship(spark), docs, sf_dir)
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +39,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read again."""
-    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    """All stages over the documents table, each written to the shared folder and read again.
+
+    A stage's own tables, and its input, are deleted as soon as its result is written. Texts, languages and
+    sources may be null, rows may repeat, documents may have more columns; what each stage does with them
+    its operator states. An empty table gives an empty result.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared.written()
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
-        done, path = path, shared.new_path(spark, f"pipeline-{name}")
-        out.write.option("compression", "zstd").parquet(path)
-        shared.release([done] if done else [])
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = shared.settle(out, f"pipeline-{name}", before)
     return STAGES[-1][1](spark, docs, sf_dir)
