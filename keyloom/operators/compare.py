@@ -17,6 +17,41 @@ CLASSES = {
 }
 
 
+#: Class by which a proxy before two stores sends on each command.
+ROUTING = {
+    "read": """
+        GET GETRANGE MGET STRLEN HGET HGETALL HEXISTS HLEN HMGET HKEYS HVALS HRANDFIELD HSCAN EXISTS KEYS RANDOMKEY
+        LINDEX LLEN LPOS LRANGE PTTL TTL TYPE SCARD SISMEMBER SMISMEMBER SMEMBERS SRANDMEMBER SDIFF SINTER SINTERCARD
+        SUNION SSCAN XLEN XRANGE XREVRANGE XINFO XPENDING ZCARD ZCOUNT ZLEXCOUNT ZMSCORE ZRANGE ZRANGEBYSCORE
+        ZRANGEBYLEX ZREVRANGE ZREVRANGEBYSCORE ZREVRANGEBYLEX ZRANK ZREVRANK ZSCORE ZSCAN ZDIFF PFCOUNT TOUCH DUMP
+        GEODIST GEOHASH GEOPOS GEOSEARCH GEORADIUS_RO GEORADIUSBYMEMBER_RO OBJECT SORT_RO SUBSTR""",
+    "write": """
+        SET SETEX PSETEX SETNX SETRANGE MSET MSETNX APPEND GETSET GETEX GETDEL DEL UNLINK COPY RENAME RENAMENX RESTORE
+        INCR INCRBY INCRBYFLOAT DECR DECRBY HSET HMSET HDEL HINCRBY HINCRBYFLOAT HSETNX LPUSH LPUSHX LPOP RPUSH RPUSHX
+        RPOP RPOPLPUSH LMOVE LREM LSET LTRIM LINSERT SADD SREM SPOP SMOVE SDIFFSTORE SINTERSTORE SUNIONSTORE EXPIRE
+        PEXPIRE EXPIREAT PEXPIREAT PERSIST SORT XADD XTRIM XACK XDEL XGROUP XCLAIM XAUTOCLAIM ZADD ZINCRBY ZREM
+        ZREMRANGEBYSCORE ZREMRANGEBYRANK ZREMRANGEBYLEX ZPOPMIN ZPOPMAX ZRANGESTORE ZUNIONSTORE ZINTERSTORE ZDIFFSTORE
+        PFADD PFMERGE GEOADD GEORADIUS GEORADIUSBYMEMBER GEOSEARCHSTORE FLUSHALL FLUSHDB PUBLISH""",
+    "blocking": "BLPOP BRPOP BRPOPLPUSH BLMOVE BLMPOP BZPOPMIN BZPOPMAX",
+    "pubsub": "SUBSCRIBE UNSUBSCRIBE PSUBSCRIBE PUNSUBSCRIBE SSUBSCRIBE SUNSUBSCRIBE PUBSUB",
+    "admin": """
+        PING ECHO INFO CLIENT SELECT QUIT RESET DBSIZE SCAN AUTH HELLO WAIT CONFIG DEBUG CLUSTER COMMAND TIME SLOWLOG
+        MEMORY LATENCY MODULE ACL SWAPDB WATCH UNWATCH""",
+    "transaction": "MULTI EXEC DISCARD",
+    "script": "EVAL EVALSHA EVAL_RO EVALSHA_RO SCRIPT FUNCTION FCALL FCALL_RO",
+}
+
+
+def routing_class(command: Column, arguments: Column | None = None) -> Column:
+    """Class of a command at a proxy, in either case. XREAD and XREADGROUP block if an argument (an array of texts) says
+    BLOCK and read otherwise; a command that isn't known is a write, which goes to both stores."""
+    out = F.lit("write")
+    for name, words in ROUTING.items():
+        out = F.when(F.upper(command).isin(*words.split()), F.lit(name)).otherwise(out)
+    waits = F.lit(False) if arguments is None else F.coalesce(F.exists(arguments, lambda a: F.upper(a) == "BLOCK"), F.lit(False))
+    return F.when(F.upper(command).isin("XREAD", "XREADGROUP"), F.when(waits, "blocking").otherwise("read")).otherwise(out)
+
+
 def command_class(command: Column) -> Column:
     out = F.lit("other")
     for name, words in CLASSES.items():

@@ -85,6 +85,23 @@ def log_add(rows: DataFrame, new: DataFrame, now_ms: int, most: int | None = Non
     return out if most is None else log_trim(out, most)
 
 
+def log_add_given(rows: DataFrame, new: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with new entries, rejected entries) for entries (key, pos, ms, seq, fields) that bring their ids.
+
+    An entry is taken if its id is not 0-0 and follows its key's last one and those of the entries before it
+    (by pos); one that is rejected changes nothing for the next."""
+    kinds = dict(rows.dtypes)
+    last = rows.groupBy("key").agg(F.max(F.struct("ms", "seq")).alias("_end"))
+    new = new.withColumns({c: F.col(c).cast(kinds[c]) for c in ("ms", "seq")})
+    earlier = F.max(F.struct("ms", "seq")).over(Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    judged = new.withColumn("_earlier", earlier).join(last, "key", "left")
+    own = F.struct("ms", "seq")
+    follows = lambda c: F.coalesce(own > F.col(c), F.lit(True))
+    judged = judged.withColumn("_ok", ~((F.col("ms") == 0) & (F.col("seq") == 0)) & follows("_end") & follows("_earlier"))
+    out = rows.unionByName(judged.where("_ok").select("key", "ms", "seq", "fields"))
+    return (out if most is None else log_trim(out, most)), judged.where("NOT _ok").select("key", "pos", "ms", "seq", "fields")
+
+
 def check_next(last: tuple[int, int], wanted: tuple[int, int]) -> tuple[int, int]:
     """An id given by hand must follow the last one and not be 0-0."""
     if wanted == (0, 0) or wanted <= last:

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 class BadRange(ValueError):
     """A byte range that can't be read or met."""
@@ -91,16 +93,16 @@ def damaged_chunks(references: DataFrame, blobs: DataFrame) -> DataFrame:
     return references.join(good, "sha", "left_anti")
 
 
-def resolve_paths(entries: DataFrame, root: int = 0, depth: int = 32) -> DataFrame:
-    """path, inode of everything below root: a join per level, as many as the tree is deep."""
-    level = entries.where(F.col("parent") == root).select(F.concat(F.lit("/"), "name").alias("path"), "inode")
-    out = level
-    for _ in range(depth - 1):
-        level = level.select("path", F.col("inode").alias("parent")).join(entries, "parent").select(F.concat("path", F.lit("/"), "name").alias("path"), "inode")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def resolve_paths(entries: DataFrame, root: int = 0) -> DataFrame:
+    """path, inode of everything below root: a join per level, until a level is empty. An entry that leads back to an
+    inode on its own path is listed and not followed."""
+    level = entries.where(F.col("parent") == root).select(F.concat(F.lit("/"), "name").alias("path"), "inode", F.array(F.lit(root).cast("long")).alias("way"))
+    out = None
+    while not (level := cut_lineage(level)).isEmpty():
+        out = level if out is None else out.unionByName(level)
+        open_ends = level.where(~F.array_contains("way", F.col("inode").cast("long"))).select("path", F.col("inode").alias("parent"), F.array_append("way", F.col("inode").cast("long")).alias("way"))
+        level = open_ends.join(entries, "parent").select(F.concat("path", F.lit("/"), "name").alias("path"), "inode", "way")
+    return (level if out is None else out).select("path", "inode")
 
 
 def read_directory(entries: DataFrame, parent: int) -> DataFrame:

@@ -6,7 +6,7 @@ becomes a top-k. A limit counts rows before the filter expression; Catalyst keep
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..plans.expressions import ExpressionError, condition, key_condition, projection, update
 
+#: Actions in a transaction.
+MOST_ACTIONS = 100
 SELECTS = {"", "ALL_ATTRIBUTES", "ALL_PROJECTED_ATTRIBUTES", "SPECIFIC_ATTRIBUTES", "COUNT"}
 
 
@@ -233,13 +235,52 @@ def batch_write(table: Table, puts: DataFrame | None = None, deletes: DataFrame
     return kept if puts is None else kept.unionByName(puts, allowMissingColumns=True)
 
 
-def transact_write(table: Table, puts: DataFrame | None = None, deletes: DataFrame | None = None, checks: list[tuple[dict, str]] = (), names=None, values=None) -> DataFrame:
-    """All or nothing: raises ConditionFailed unless each (key, condition) holds on the row of its key or on an absent one."""
-    for key, text in checks:
-        one = table.rows.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in key.items()])
-        if not _new_rows(table, one, condition(text, names, values, types=dict(table.rows.dtypes))).first()["ok"]:
-            raise ConditionFailed(text)
-    return batch_write(table, puts, deletes)
+def batch_write_partial(table: Table, puts: DataFrame | None, deletes: DataFrame | None, contended: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new rows, unprocessed requests: op and key) of a checked batch: requests whose key is in `contended` (keys that
+    other writers hold) are given back, the others are done."""
+    parts = [d.select(F.lit(op).alias("op"), *table.key) for op, d in (("put", puts), ("delete", deletes)) if d is not None]
+    requests = parts[0]
+    for p in parts[1:]:
+        requests = requests.unionByName(p)
+    free = lambda d: None if d is None else d.join(contended.select(*table.key), table.key, "left_anti")
+    check_batch(requests, table.key)
+    return batch_write(table, free(puts), free(deletes)), requests.join(contended.select(*table.key).distinct(), table.key, "left_semi").select("op", *table.key)
+
+
+def transact_write(
+    table: Table,
+    puts: DataFrame | None = None,
+    deletes: DataFrame | None = None,
+    checks: list[tuple[dict, str]] = (),
+    names=None,
+    values=None,
+    updates: list[tuple[DataFrame, str, str | None]] = (),
+) -> DataFrame:
+    """All or nothing: raises ConditionFailed unless each (key, condition) holds on the row of its key or on an absent one.
+
+    updates: (keys, update expression, condition or None). All conditions are judged on the rows before the
+    transaction, in one action; no key may be in two of the actions."""
+    types = dict(table.rows.dtypes)
+    spark = table.rows.sparkSession
+    judged = [(spark.createDataFrame([tuple(key.values())], ", ".join(f"`{k}` {types[k]}" for k in key)), text) for key, text in checks]
+    judged += [(keys, text) for keys, _, text in updates if text]
+    failed = [_new_rows(table, keys, condition(text, names, values, types=types)).where(~F.coalesce("ok", F.lit(False))).select(F.lit(text).alias("text")) for keys, text in judged]
+    if failed:
+        every = failed[0]
+        for f in failed[1:]:
+            every = every.unionByName(f)
+        if found := every.limit(1).collect():
+            raise ConditionFailed(found[0]["text"])
+    keys = [d.select(*table.key) for d in (puts, deletes, *[k for k, _, _ in updates]) if d is not None]
+    if keys:
+        every = keys[0]
+        for k in keys[1:]:
+            every = every.unionByName(k)
+        check_batch(every, table.key, MOST_ACTIONS)
+    rows = table.rows
+    for wanted, text, _ in updates:
+        rows = update_items(replace(table, rows=rows), wanted, text, names=names, values=values)[0]
+    return batch_write(replace(table, rows=rows), puts, deletes) if puts is not None or deletes is not None else rows
 
 
 def index_changes(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 _TOKEN = re.compile(r"\s*(?:(<>|<=|>=|[=<>(),+\-\[\].])|([#:]?[A-Za-z0-9_][A-Za-z0-9_\-]*|[#:][A-Za-z0-9_\-]+))")
 COMPARISONS = {"=", "<>", "<", "<=", ">", ">="}
@@ -356,7 +357,8 @@ def update(text: str, names: dict[str, str] | None = None, values: dict[str, Any
             current = out.get(name, F.col(f"`{name}`"))
             if section == "SET":
                 t.take("=")
-                out[name] = _assign(current, inner, sum_of())
+                kind = (types or {}).get(name)
+                out[name] = _assign(current, inner, sum_of(), DataType.fromDDL(kind) if inner and kind else None)
             elif section == "REMOVE":
                 out[name] = _remove(current, inner) if inner else None
             else:
@@ -377,15 +379,21 @@ def update(text: str, names: dict[str, str] | None = None, values: dict[str, Any
     return out
 
 
-def _assign(column: Column, inner: tuple, value: Column) -> Column:
-    """The column with what is at the inner path replaced; a list position equal to the size appends."""
+def _assign(column: Column, inner: tuple, value: Column, kind: DataType | None = None) -> Column:
+    """The column with what is at the inner path replaced. A list position beyond the end appends; with its type (kind)
+    known, a container that is null is made."""
     if not inner:
         return value
     head, rest = inner[0], inner[1:]
     if isinstance(head, int):
-        new = _assign(F.get(column, head), rest, value)
-        return F.when(F.size(column) == head, F.array_append(column, new)).otherwise(F.transform(column, lambda x, i: F.when(i == head, new).otherwise(x)))
-    return column.withField(head, _assign(column.getField(head), rest, value))
+        below = kind.elementType if isinstance(kind, ArrayType) else None
+        new = _assign(F.get(column, head), rest, value, below)
+        whole = column if below is None else F.coalesce(column, F.array().cast(kind))
+        new = new if below is None else new.cast(below)
+        return F.when(F.size(whole) <= head, F.array_append(whole, new)).otherwise(F.transform(whole, lambda x, i: F.when(i == head, new).otherwise(x)))
+    below = next((f.dataType for f in kind.fields if f.name == head), None) if isinstance(kind, StructType) else None
+    whole = F.coalesce(column, F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])) if isinstance(kind, StructType) else column
+    return whole.withField(head, _assign(column.getField(head), rest, value, below))
 
 
 def _remove(column: Column, inner: tuple) -> Column:

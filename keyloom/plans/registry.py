@@ -189,6 +189,38 @@ def _(s, d):
     return tables.transact_write(t, deletes=s.createDataFrame([(4,)], "n_nationkey int"), checks=[({"n_nationkey": 4}, "attribute_exists(n_name)"), ({"n_nationkey": 400}, "attribute_not_exists(n_name)")])
 
 
+@query("transact_write_update", "SELECT n_nationkey, CASE WHEN n_nationkey IN (5, 6) THEN 'renamed' ELSE n_name END AS n_name, CASE WHEN n_nationkey = 7 THEN n_regionkey + 10 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey <> 4 UNION ALL SELECT 99, 'new', 1")
+def _(s, d):
+    t = tables.Table("nation", table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey")), "n_nationkey")
+    one = lambda *k: s.createDataFrame([(i,) for i in k], "n_nationkey int")
+    updates = [(one(5, 6), "SET n_name = :r", "attribute_exists(n_name)"), (one(7), "SET n_regionkey = n_regionkey + :ten", None)]
+    return tables.transact_write(t, s.createDataFrame([(99, "new", 1)], "n_nationkey int, n_name string, n_regionkey int"), one(4), [({"n_nationkey": 400}, "attribute_not_exists(n_name)")], values={":r": "renamed", ":ten": 10}, updates=updates)
+
+
+_CONTENDED = "n_nationkey % 2 = 1"
+
+
+@query("batch_write_unprocessed", f"SELECT CASE WHEN n_regionkey = 0 THEN 'put' ELSE 'delete' END AS op, n_nationkey FROM nation WHERE n_regionkey < 2 AND {_CONTENDED}")
+def _(s, d):
+    t = tables.Table("nation", table(s, d, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
+    return tables.batch_write_partial(t, t.rows.where("n_regionkey = 0"), t.rows.where("n_regionkey = 1").select("n_nationkey"), t.rows.where(_CONTENDED))[1]
+
+
+@query("batch_write_processed", f"SELECT n_nationkey, CASE WHEN n_regionkey = 0 AND NOT ({_CONTENDED}) THEN 50 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_regionkey <> 1 OR {_CONTENDED}")
+def _(s, d):
+    t = tables.Table("nation", table(s, d, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
+    puts = t.rows.where("n_regionkey = 0").withColumn("n_regionkey", F.lit(50).cast(dict(t.rows.dtypes)["n_regionkey"]))
+    return tables.batch_write_partial(t, puts, t.rows.where("n_regionkey = 1").select("n_nationkey"), t.rows.where(_CONTENDED))[0]
+
+
+@query("update_makes_containers", "SELECT c_custkey, c_custkey % 2 AS child, CASE WHEN c_custkey % 3 = 0 THEN 'kept' END AS other, CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS items, c_name AS last FROM customer")
+def _(s, d):
+    c = table(s, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 0, F.struct(F.lit(None).cast("long").alias("child"), F.lit("kept").alias("other"))).alias("extra"), F.when(F.col("c_custkey") % 5 == 0, F.array(F.lit("first"))).alias("items"))
+    t = tables.Table("customer", c.withColumn("half", F.col("c_custkey") % 2), "c_custkey")
+    done = tables.update_items(t, c.select("c_custkey"), "SET extra.child = half, items[7] = c_name")[0]
+    return done.select("c_custkey", "extra.child", "extra.other", F.size("items").alias("items"), F.element_at("items", -1).alias("last"))
+
+
 @query("index_delta", "SELECT 'delete' AS op, p_partkey, p_size FROM part WHERE p_size = 7 UNION ALL SELECT 'insert', p_partkey, 8 FROM part WHERE p_size = 7")
 def _(s, d):
     old = table(s, d, "part").select("p_partkey", "p_size")
@@ -723,6 +755,27 @@ def _(s, d):
     return logs.log_trim(logs.log_add(rows, new, 0), 1).select("key", "ms", "seq")
 
 
+_GIVEN = "(VALUES (0, -1, 5), (1, 1, 0), (2, 1, 0), (3, 0, 9), (4, 1, 1)) AS g(pos, step, seq)"
+_LAST = f"SELECT key, max(ms) AS last FROM ({_X}) GROUP BY key"
+
+
+@query("log_add_given", f"SELECT key, pos, last + step AS ms, CAST(seq AS BIGINT) AS seq FROM ({_LAST}), {_GIVEN} WHERE pos IN (1, 4)")
+def _(s, d):
+    rows = stream(s, d)
+    given = s.createDataFrame([(0, -1, 5), (1, 1, 0), (2, 1, 0), (3, 0, 9), (4, 1, 1)], "pos int, step int, seq long")
+    new = rows.groupBy("key").agg(F.max("ms").alias("last")).crossJoin(F.broadcast(given)).select("key", "pos", (F.col("last") + F.col("step")).alias("ms"), "seq", F.lit("x").alias("fields"))
+    added = logs.log_add_given(rows, new)[0].join(rows.select("key", "ms", "seq"), ["key", "ms", "seq"], "left_anti")
+    return added.select("key", F.when(F.col("seq") == 0, 1).otherwise(4).alias("pos"), "ms", "seq")
+
+
+@query("log_add_rejected", f"SELECT key, pos, last + step AS ms, CAST(seq AS BIGINT) AS seq FROM ({_LAST}), {_GIVEN} WHERE pos IN (0, 2, 3)")
+def _(s, d):
+    rows = stream(s, d)
+    given = s.createDataFrame([(0, -1, 5), (1, 1, 0), (2, 1, 0), (3, 0, 9), (4, 1, 1)], "pos int, step int, seq long")
+    new = rows.groupBy("key").agg(F.max("ms").alias("last")).crossJoin(F.broadcast(given)).select("key", "pos", (F.col("last") + F.col("step")).alias("ms"), "seq", F.lit("x").alias("fields"))
+    return logs.log_add_given(rows, new)[1].select("key", "pos", "ms", "seq")
+
+
 # ---- queues ----------------------------------------------------------------------------------------
 
 _M = "SELECT event_type AS queue, event_id AS id, props AS body, (epoch_us(ts) // 1000) AS sent_ms, (epoch_us(ts) // 1000) + event_id % 7 * 86400000 AS visible_ms, event_id % 5 AS receive_count, user_id AS group_id, user_id % 10 AS dedup_id FROM events"
@@ -919,6 +972,13 @@ def _(s, d):
     return routes.faults(route_table(s)).select("id")
 
 
+@query("route_faults_found", f"WITH r AS (SELECT id, CASE WHEN id = 3 THEN \"end\" ELSE start END AS start, CASE WHEN id = 3 THEN start WHEN id = 5 THEN 'Customer#999999999' ELSE \"end\" END AS \"end\" FROM ({_R})) SELECT id FROM (SELECT *, lead(start) OVER (ORDER BY start, id) AS nxt FROM r) WHERE (\"end\" IS NOT NULL AND start >= \"end\") OR (nxt IS NOT NULL AND (\"end\" IS NULL OR \"end\" > nxt))")
+def _(s, d):
+    r = route_table(s)
+    turned = r.select("id", F.when(F.col("id") == 3, F.col("end")).otherwise(F.col("start")).alias("start"), F.when(F.col("id") == 3, F.col("start")).when(F.col("id") == 5, F.lit("Customer#999999999")).otherwise(F.col("end")).alias("end"))
+    return routes.faults(turned).select("id")
+
+
 @query("route_changes", "SELECT * FROM (VALUES (CAST(2 AS BIGINT), 'removed'), (CAST(15 AS BIGINT), 'added'), (CAST(16 AS BIGINT), 'added')) AS t(id, kind)")
 def _(s, d):
     return routes.changes(route_table(s), routes.split(route_table(s), 2, "Customer#000000200", 1))
@@ -1074,6 +1134,13 @@ def _(s, d):
     return rows.withColumn("class", compare.command_class(F.col("command")))
 
 
+@query("command_routing", "SELECT * FROM (VALUES ('get', 'read'), ('MGET', 'read'), ('INCRBY', 'write'), ('BLPOP', 'blocking'), ('XREAD', 'blocking'), ('XREADGROUP', 'read'), ('PUBLISH', 'write'), ('SCAN', 'admin'), ('FCALL', 'script'), ('EXEC', 'transaction'), ('SSUBSCRIBE', 'pubsub'), ('NOPE', 'write')) AS t(command, class)")
+def _(s, d):
+    calls = [("get", ["a"]), ("MGET", ["a", "b"]), ("INCRBY", ["a", "1"]), ("BLPOP", ["a", "0"]), ("XREAD", ["block", "0", "STREAMS", "a", "$"]), ("XREADGROUP", ["GROUP", "g", "c"]), ("PUBLISH", ["c", "m"]), ("SCAN", ["0"]), ("FCALL", ["f"]), ("EXEC", []), ("SSUBSCRIBE", ["c"]), ("NOPE", None)]
+    rows = s.createDataFrame(calls, "command string, arguments array<string>")
+    return rows.select("command", compare.routing_class(F.col("command"), F.col("arguments")).alias("class"))
+
+
 @query("channel_counts", "SELECT event_type AS channel, count(DISTINCT user_id) AS subscribers FROM events GROUP BY ALL")
 def _(s, d):
     return compare.channel_counts(table(s, d, "events").select(F.col("event_type").alias("channel"), F.col("user_id").alias("client")))

@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Applied where the cluster sets nothing itself.
 DEFAULTS = {
@@ -44,3 +44,15 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path)
     context._keyloom_shipped = True
     return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, computed and checkpointed to the shared folder that spark.checkpoint.dir names; only with a local master,
+    and without that setting, to a local one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="keyloom-checkpoints-"))
+    return df.checkpoint()
