@@ -11,7 +11,7 @@ import struct as binary
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,46 +114,58 @@ def fifo_partition(group: Column, partitions: int) -> Column:
     return fnv1a32(group).bitwiseAND(F.lit(partitions - 1)).cast("int")
 
 
-def _accepted(pdf: pd.DataFrame, window_ms: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["sent_ms", "id"])
-    first, until, out = None, None, []
-    for i, t in zip(pdf["id"], pdf["sent_ms"]):
-        if until is None or t > until:  # a hit doesn't renew the window; its end still counts as inside
-            first, until = i, t + window_ms
-        out.append(first)
-    return pdf.assign(original=out)[["queue", "dedup_id", "id", "sent_ms", "original"]]
-
-
 def deduplicate(messages: DataFrame, window_ms: int = DEDUP_MS) -> DataFrame:
-    """queue, dedup_id, id, sent_ms, original: the message that each one counts as; greedy windows from the first accepted send."""
+    """queue, dedup_id, id, sent_ms, original: the message that each one counts as; greedy windows from the first accepted send.
+
+    The sends of a queue and dedup_id are sorted by time and pass one task as a stream, with the open window alone in memory."""
     kinds = dict(messages.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("queue", "dedup_id", "id", "sent_ms")) + f", original {kinds['id']}"
-    return messages.select("queue", "dedup_id", "id", "sent_ms").groupBy("queue", "dedup_id").applyInPandas(lambda pdf: _accepted(pdf, window_ms), schema)
+    names = ["queue", "dedup_id", "id", "sent_ms"]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + f", original {kinds['id']}"
+    ordered = messages.select(*names).repartition("queue", "dedup_id").sortWithinPartitions("queue", "dedup_id", "sent_ms", "id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, until = None, None, None
+        for batch in batches:
+            original = []
+            for queue, dedup_id, i, t in zip(*(c.to_pylist() for c in batch.columns)):
+                # A hit doesn't renew the window; its end still counts as inside.
+                if until is None or (queue, dedup_id) != now or t > until:
+                    now, first, until = (queue, dedup_id), i, t + window_ms
+                original.append(first)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(original, batch.column(2).type)], [*names, "original"])
 
-def content_dedup_id(body: Column) -> Column:
-    return F.sha2(body, 256)
+    return ordered.mapInArrow(run, schema)
 
 
-def _throttled(pdf: pd.DataFrame, capacity: float, rate: float) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts_ms", "id"])
-    tokens, last, ok, wait = capacity, None, [], []
-    for t, need in zip(pdf["ts_ms"], pdf["n"]):
-        if last is not None:
-            tokens = min(capacity, tokens + (t - last) / 1000 * rate)
-        last = t
-        met = need <= tokens
-        tokens -= need if met else 0
-        ok.append(bool(met))
-        wait.append(0 if met else max(1, -int(-(need - tokens) // rate)))
-    return pdf.assign(allowed=ok, retry_after_s=wait)[["queue", "id", "ts_ms", "n", "allowed", "retry_after_s"]]
+def content_dedup_id(body: Column) -> Column:
+    return F.sha2(body, 256)
 
 
 def throttle(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
-    """requests (queue, id, ts_ms, n tokens) with allowed and retry_after_s of a token bucket per queue; a request is met whole or not."""
+    """requests (queue, id, ts_ms, n tokens) with allowed and retry_after_s of a token bucket per queue; a request is met whole or not.
+
+    A bucket is sequential: a queue's requests are sorted by time and pass one task as a stream, with the bucket's state alone in memory."""
     kinds = dict(requests.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("queue", "id", "ts_ms", "n")) + ", allowed boolean, retry_after_s long"
-    return requests.select("queue", "id", "ts_ms", "n").groupBy("queue").applyInPandas(lambda pdf: _throttled(pdf, capacity, rate), schema)
+    names = ["queue", "id", "ts_ms", "n"]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", allowed boolean, retry_after_s long"
+    ordered = requests.select(*names).repartition("queue").sortWithinPartitions("queue", "ts_ms", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tokens, last = None, capacity, None
+        for batch in batches:
+            ok, wait = [], []
+            for queue, t, need in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if last is None or queue != now:
+                    now, tokens, last = queue, capacity, t
+                tokens = min(capacity, tokens + (t - last) / 1000 * rate)
+                last = t
+                met = need <= tokens
+                tokens -= need if met else 0
+                ok.append(bool(met))
+                wait.append(0 if met else max(1, -int(-(need - tokens) // rate)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_()), pa.array(wait, pa.int64())], [*names, "allowed", "retry_after_s"])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def list_queues(queues: DataFrame, prefix: str = "", after: str | None = None, most: int = 1000) -> DataFrame:
