@@ -1,15 +1,17 @@
 """Key-range routes [start, end) (null end: no upper bound): lookup, overlap, splits, versions, sub-ranges.
 
-Lookup is an as-of match: with few routes (a checked number) they are broadcast for a range join; with
-more, both sides are range-cut into one ordered union and each key takes the last route start before it.
+Lookup is an as-of match: the order of keys is cut at route starts (a bounded number of them), keys find
+their block by binary search, and an equality join on the block brings the few routes that reach it.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Routes that may be broadcast.
+#: Routes that may be broadcast, and places where the order of keys is cut.
 SMALL = 10_000
 
 
@@ -17,14 +19,28 @@ def covers(key: Column, start: str = "start", end: str = "end") -> Column:
     return (key >= F.col(start)) & (F.col(end).isNull() | (key < F.col(end)))
 
 
-def lookup(keys: DataFrame, routes: DataFrame, key: str = "key", cut: int = 2) -> DataFrame:
-    """keys with their route's columns; keys that no route covers are left out."""
-    if routes.limit(SMALL + 1).count() <= SMALL:
-        return keys.join(F.broadcast(routes), covers(F.col(key)))
-    # Beyond that: order keys and route starts together by the first characters; routes are repeated in each block that they reach.
-    blocks = keys.select(F.substring(key, 1, cut).alias("_b")).distinct()
-    spread = routes.join(blocks, (F.substring("start", 1, cut) <= F.col("_b")) & (F.col("end").isNull() | (F.substring("end", 1, cut) >= F.col("_b"))))
-    return keys.withColumn("_b", F.substring(key, 1, cut)).join(spread, "_b").where(covers(F.col(key))).drop("_b")
+def lookup(keys: DataFrame, routes: DataFrame, key: str = "key") -> DataFrame:
+    """keys with their route's columns; keys that no route covers are left out.
+
+    Up to SMALL starts each begin a block, of more every so many-th; at most 2 * SMALL rows are broadcast."""
+    starts = routes.select("start").distinct()
+    n = starts.count()
+    if n > SMALL:  # a catalog is bounded, so one ordered window serves
+        nth = F.row_number().over(Window.orderBy("start"))
+        starts = starts.withColumn("_n", nth).where(F.col("_n") % -(-n // SMALL) == 1).select("start")
+    bounds = np.array(sorted(r[0] for r in starts.collect()), dtype=object)
+
+    @F.pandas_udf("int")
+    def block(values: pd.Series) -> pd.Series:
+        known = values.notna().to_numpy()
+        out = np.full(len(values), -1, np.int32)
+        out[known] = np.searchsorted(bounds, values.to_numpy(object)[known], "right")
+        return pd.Series(out)
+
+    last = F.coalesce(block("end"), F.lit(-1))
+    spread = routes.withColumn("_b", F.explode(F.sequence(block("start"), F.when(F.col("end").isNull(), len(bounds)).otherwise(F.greatest(last, block("start"))))))
+    spread = F.broadcast(spread) if spread.limit(2 * SMALL + 1).count() <= 2 * SMALL else spread  # overlapping routes reach many blocks
+    return keys.withColumn("_b", block(key)).join(spread, "_b").where(covers(F.col(key))).drop("_b")
 
 
 def overlapping(routes: DataFrame, start, end=None) -> DataFrame:
