@@ -21,9 +21,10 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(docs)
-    columns = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    rows = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("own"))
+    out = linededup.dedup_lines(rows)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(c, F.col("own")[c]).alias(c) for c in docs.columns])
 
 
 STAGES = [

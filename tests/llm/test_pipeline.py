@@ -40,3 +40,19 @@ def test_empty_and_odd_documents(spark, tmp_path):
             stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{name}{k}"))
             docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
         assert [r.doc_id for r in docs.collect()] == ([2] if data else [])
+
+
+def test_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    names = "row id rid root key lines line d th pos h a b x y part size salt kept base_failed upto n_words n_lines n_removed gone body _d _th _leak repeated keep_id fp limits lang2".split()
+    long = "\n".join(f"line {i} of a very long text with number {i * i % 9973} and {i * 7919 % 10007}" for i in range(40_000))
+    rows = [(1, long, "en", "a", len(long)), (2, "one text of ten words and a few more to be kept here", "en", "a", 1), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(f"own {c}") for c in names})
+    columns = docs.columns
+    spark.createDataFrame([(1, "an item that nothing holds at all, of some length")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"wide{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"wide{k}"))
+        if k < 4:
+            assert docs.columns == columns
+            assert all(r[c] == f"own {c}" for r in docs.select(names).collect() for c in names)
+    assert {r.doc_id for r in docs.collect()} <= {1, 2} and docs.where("doc_id = 2 AND round_trip").count() == 1
