@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import settle, stash, text_bytes, written
+from .shared import apart, settle, stash, text_bytes, written
 
 WIDTH, RADIUS, SHINGLE = 64, 4, 4
 #: Members of a bucket that one task compares with as many others.
@@ -109,15 +109,15 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, block: int = BL
     masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
     keyed = distinct.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     shared = keyed.groupBy("t", "key").agg(F.min("fp").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    members = stash(keyed.join(shared, ["t", "key"]), "simhash-members")
+    members = stash(apart(keyed).join(shared, ["t", "key"]), "simhash-members")
     star = members.where(F.col("fp") != F.col("rep")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("rep"))) <= radius)
     edges = stash(star.select(F.col("rep").alias("a"), F.col("fp").alias("b")).distinct(), "simhash-star")
     roots = connected_components(edges, "simhash")
-    rooted = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("t", "key", "n", "fp", F.coalesce("root", "fp").alias("root"))
+    rooted = apart(members).join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("t", "key", "n", "fp", F.coalesce("root", "fp").alias("root"))
     rooted = stash(rooted, "simhash-rooted")
     mixed = rooted.groupBy("t", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t", "key")
     # A bucket of n is cut into k parts by hash; each pair of parts (and each part with itself) is a group.
-    cut = rooted.join(mixed, ["t", "key"]).withColumn("k", F.ceil(F.col("n") / block).cast("int")).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    cut = apart(rooted).join(mixed, ["t", "key"]).withColumn("k", F.ceil(F.col("n") / block).cast("int")).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     pairs = cut.select("t", "key", "fp", "root", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
     pairs = pairs.select("t", "key", "fp", "root", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), (F.col("c") > F.col("o")).cast("int").alias("side"))
     # few bytes but much work: an explicit number of partitions is not coalesced
@@ -139,10 +139,10 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     marked = stash(fingerprints(docs), "simhash-fp")
     by_fp = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = settle(link_fingerprints(by_fp.select("fp"), radius), "simhash-roots", written())
-    rooted = by_fp.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = apart(by_fp).join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = apart(rooted).join(least, "root").select("fp", "component_id")
+    return apart(marked).join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
