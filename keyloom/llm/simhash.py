@@ -154,7 +154,7 @@ def keep_one_per_component(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     repeated = found.groupBy("doc_id").agg((F.count("*") > 1).alias("repeated"))
     keep = keep.join(repeated, F.col("keep_id").eqNullSafe(F.col("doc_id"))).select("keep_id", "repeated")
     rows = docs.select(F.col("doc_id").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    kept = stash(rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "row", "repeated"), "simhash-kept")
+    kept = stash(apart(rows).join(keep, F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "row", "repeated"), "simhash-kept")
     rest = [F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")]
     order = F.struct(F.col("row")["text"].alias("t"), *[c.alias(f"c{i}") for i, c in enumerate(rest)])
     best = kept.where("repeated").groupBy("id").agg(F.min_by("row", order).alias("row")).select("row")
