@@ -213,9 +213,17 @@ def position_of(rows: DataFrame, value) -> DataFrame:
 # ---- hashes ----------------------------------------------------------------------------------------
 
 
+def _replies(asked: DataFrame, rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(key, added; key, removed): how many of each asked key's distinct members or fields rows lacks, and has.
+
+    Every asked key has its reply, 0 as well."""
+    joined = asked.select("key", by).distinct().join(rows.select("key", by, F.lit(True).alias("_in")), ["key", by], "left").groupBy("key")
+    return joined.agg(F.count_if(F.col("_in").isNull()).alias("added")), joined.agg(F.count("_in").alias("removed"))
+
+
 def hash_set(rows: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, key and number of fields added). new: key, field, value, without repeats."""
-    added = new.join(rows, ["key", "field"], "left_anti").groupBy("key").agg(F.count("*").alias("added"))
+    added = _replies(new, rows, "field")[0]
     return rows.join(new.select("key", "field"), ["key", "field"], "left_anti").unionByName(new.select(*rows.columns)), added
 
 
@@ -234,8 +242,7 @@ def hash_length(rows: DataFrame) -> DataFrame:
 
 
 def hash_delete(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    gone = rows.join(asked, ["key", "field"], "left_semi").groupBy("key").agg(F.count("*").alias("removed"))
-    return rows.join(asked, ["key", "field"], "left_anti"), gone
+    return rows.join(asked, ["key", "field"], "left_anti"), _replies(asked, rows, "field")[1]
 
 
 def hash_increment(rows: DataFrame, steps: DataFrame) -> DataFrame:
@@ -250,13 +257,13 @@ def hash_increment(rows: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def set_add(rows: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, key and number of members added; 0 where a key had them all)."""
     fresh = new.select("key", "member").distinct().join(rows, ["key", "member"], "left_anti")
-    return rows.unionByName(fresh), fresh.groupBy("key").agg(F.count("*").alias("added"))
+    return rows.unionByName(fresh), _replies(new, rows, "member")[0]
 
 
 def set_remove(rows: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    found = rows.join(gone.select("key", "member").distinct(), ["key", "member"], "left_semi")
-    return rows.join(gone.select("key", "member"), ["key", "member"], "left_anti"), found.groupBy("key").agg(F.count("*").alias("removed"))
+    return rows.join(gone.select("key", "member"), ["key", "member"], "left_anti"), _replies(gone, rows, "member")[1]
 
 
 def set_has(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -296,7 +303,7 @@ def zset_add(rows: DataFrame, new: DataFrame, only_new: bool = False, only_old:
     there, asked = F.col("score").isNotNull(), F.col("_new").isNotNull()
     better = F.col("_new") > F.col("score") if greater else F.col("_new") < F.col("score") if less else F.lit(not only_new)
     score = F.when(asked & ~there & F.lit(not only_old), F.col("_new")).when(asked & there & better, F.col("_new")).otherwise(F.col("score"))
-    added = joined.where(asked & ~there & F.lit(not only_old)).groupBy("key").agg(F.count("*").alias("added"))
+    added = joined.where(asked).groupBy("key").agg(F.count_if(~there & F.lit(not only_old)).alias("added"))
     return joined.withColumn("score", score + F.lit(0.0)).where("score IS NOT NULL").select("key", "member", "score"), added
 
 
